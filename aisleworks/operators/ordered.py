@@ -6,8 +6,9 @@ window runs per (key, slice), and one summary row per hot slice carries totals a
 rows over to the next slice. Ordinary keys keep one slice, so they pay only for a
 map-side combined row count.
 
-Broadcast bounds: with ``N`` input rows and threshold ``L`` there are at most ``N / L``
-hot keys and at most ``(SLACK + 1) * N / L + N / L`` hot slices, whatever the skew.
+Broadcast bounds: the threshold in force is ``L = max(hotKeyRows, N / MAX_HOT_KEYS)`` for
+``N`` input rows, so at most ``MAX_HOT_KEYS`` keys are hot and they have at most
+``(SLACK + 2) * MAX_HOT_KEYS`` slices, however large or skewed the data is.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from aisleworks.session import hot_key_rows
 
 SLICE, HOT = "_slice", "_hot"
+MAX_HOT_KEYS = 50_000
 SLACK = 4  # slices per needed slice, so that uneven order values still give small tasks
 
 
@@ -44,20 +46,19 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 def slice_hot_keys(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Add ``_slice`` (0 for ordinary keys) and ``_hot``."""
-    limit = hot_key_rows(df.sparkSession)
     number = as_number(df, at)
-    spans = (
-        df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
-        .where(F.col("_n") > limit)
-        .select(
-            *[f"_k{i}" for i in range(len(keys))],
-            F.coalesce("_lo", F.lit(0)).alias("_lo"),
-            F.greatest(
-                F.lit(1),
-                F.ceil((F.col("_hi") - F.col("_lo") + 1) / (F.ceil(F.col("_n") / limit) * SLACK)),
-            ).cast("bigint").alias("_width"),
-        )
+    per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")
+    )
+    total = per_key.agg(F.sum("_n")).scalar()
+    limit = F.greatest(F.lit(hot_key_rows(df.sparkSession)), F.ceil(total / F.lit(MAX_HOT_KEYS)))
+    spans = per_key.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit")).select(
+        *[f"_k{i}" for i in range(len(keys))],
+        F.coalesce("_lo", F.lit(0)).alias("_lo"),
+        F.greatest(
+            F.lit(1),
+            F.ceil((F.col("_hi") - F.col("_lo") + 1) / (F.ceil(F.col("_n") / F.col("_limit")) * SLACK)),
+        ).cast("bigint").alias("_width"),
     )
     match = reduce(
         lambda a, b: a & b, [df[k].eqNullSafe(spans[f"_k{i}"]) for i, k in enumerate(keys)]
