@@ -148,6 +148,48 @@ class Tables:
             F.col("k"),
         )
 
+    @cached_property
+    def journeys(self) -> dict[str, DataFrame]:
+        """Touches, purchases, payments and promotions linked by a journey (user and day).
+
+        Purchases with k % 19 = 3 have no journey; some payments and sums are broken on purpose.
+        """
+        e = self.keyed_events.withColumn(
+            "journey_id", F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+        ).withColumn("gross_cents", cents(F.col("value")) + 1000)
+        touches = e.where(F.col("event_type").isin("view", "click")).select(
+            "journey_id", F.col("user_id").alias("match_key"), F.col("ts").alias("touch_ts"),
+            F.col("event_id").alias("impression_id"),
+            F.concat(F.lit("CAMP"), (F.col("k") % 10).cast("string")).alias("campaign_id"),
+            F.col("event_type").alias("channel"), cents(F.col("value")).alias("cost_cents"),
+            F.when(F.col("k") % 11 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("touch_customer_id"),
+        )
+        k = F.col("k")
+        sold = (
+            e.where("event_type = 'purchase'")
+            .withColumn("journey_id", F.when(k % 19 != 3, F.col("journey_id")))
+            .withColumn("discount_cents", k)
+            .withColumn("subtotal_cents", F.col("gross_cents") - k + F.when(k % 17 == 0, 1).otherwise(0))
+            .withColumn("tax_cents", F.expr("subtotal_cents * 8 div 100"))
+            .withColumn("total_cents", F.col("subtotal_cents") + F.col("tax_cents"))
+        )
+        purchases = sold.select(
+            F.col("event_id").alias("purchase_key"), "journey_id", F.col("user_id").alias("match_key"),
+            F.col("user_id").alias("customer_id"), F.col("ts").alias("purchase_ts"), "gross_cents", "discount_cents",
+            "subtotal_cents", "tax_cents", "total_cents", (k % 2 == 0).alias("is_store"),
+        )
+        payments = sold.select(
+            F.col("event_id").alias("purchase_key"), "journey_id", F.col("ts").alias("payment_ts"),
+            F.col("event_id").alias("transaction_id"),
+            F.when(k % 10 == 0, "DECLINED").otherwise("APPROVED").alias("payment_status"),
+            (F.col("total_cents") + F.when(k % 13 == 0, 1).otherwise(0)).alias("payment_cents"),
+        )
+        promotions = sold.where("k > 0").select(
+            F.col("event_id").alias("purchase_key"), "journey_id",
+            F.when(k % 7 == 0, k - 1).otherwise(k).alias("promo_cents"),
+        )
+        return {"touches": touches, "purchases": purchases, "payments": payments, "promotions": promotions}
+
     @cached_property
     def pings(self) -> DataFrame:
         """Events as sensor pings: the event type is the zone, the user carries a tag."""
@@ -235,6 +277,46 @@ VIEW_SQL: dict[str, str] = {
         SELECT user_id AS match_key, ts AS purchase_ts, event_id AS purchase_id,
                CAST(round(value * 100) AS BIGINT) AS total_cents, k
         FROM v_events WHERE event_type = 'purchase'""",
+    "v_journey_touches": """
+        SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS journey_id, user_id AS match_key, ts AS touch_ts,
+               event_id AS impression_id, 'CAMP' || CAST(k % 10 AS VARCHAR) AS campaign_id, event_type AS channel,
+               CAST(round(value * 100) AS BIGINT) AS cost_cents, CASE WHEN k % 11 = 0 THEN user_id + 1 ELSE user_id END AS touch_customer_id
+        FROM v_events WHERE event_type IN ('view', 'click')""",
+    "v_journey_sold": """
+        SELECT *, subtotal_cents + tax_cents AS total_cents FROM (
+          SELECT *, subtotal_cents * 8 // 100 AS tax_cents FROM (
+            SELECT event_id AS purchase_key, CASE WHEN k % 19 <> 3 THEN CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS journey_id,
+                   user_id AS match_key, user_id AS customer_id, ts AS purchase_ts, CAST(round(value * 100) AS BIGINT) + 1000 AS gross_cents,
+                   k AS discount_cents, CAST(round(value * 100) AS BIGINT) + 1000 - k + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS subtotal_cents,
+                   CASE WHEN k % 2 = 0 THEN 'STORE' ELSE 'ONLINE' END AS purchase_type, k
+            FROM v_events WHERE event_type = 'purchase'))""",
+    "v_journey_payments": """
+        SELECT purchase_key, journey_id, purchase_ts AS payment_ts, CASE WHEN k % 10 = 0 THEN 'DECLINED' ELSE 'APPROVED' END AS payment_status,
+               total_cents + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS payment_cents FROM v_journey_sold""",
+    "v_journey_promotions": """
+        SELECT purchase_key, journey_id, CASE WHEN k % 7 = 0 THEN k - 1 ELSE k END AS promo_cents FROM v_journey_sold WHERE k > 0""",
+    "v_labelled": """
+        SELECT 'ATTR-' || purchase_type || '-' || CAST(purchase_key AS VARCHAR) AS attribution_id, journey_id, attribution_status,
+               'LAST_TOUCH_7D' AS attribution_model, 7 AS attribution_window_days, touch_ts, impression_id, campaign_id, channel, customer_id,
+               purchase_ts, lag_seconds, purchase_type, purchase_key, gross_cents, discount_cents, subtotal_cents, tax_cents, total_cents, payment_cents,
+               CASE WHEN attribution_status = 'ATTRIBUTED' THEN subtotal_cents ELSE 0 END AS attributed_revenue_cents
+        FROM (SELECT *, CASE
+            WHEN NOT coalesce(lag_seconds BETWEEN 0 AND 604800, false) THEN 'OUTSIDE_WINDOW'
+            WHEN NOT coalesce(payment_status = 'APPROVED' AND payment_cents = total_cents, false) THEN 'RECONCILIATION_FAILED'
+            WHEN coalesce(promo_cents, 0) <> discount_cents THEN 'PROMOTION_MISMATCH'
+            WHEN NOT (gross_cents - discount_cents = subtotal_cents AND subtotal_cents + tax_cents = total_cents) THEN 'MONEY_MISMATCH'
+            ELSE 'ATTRIBUTED' END AS attribution_status
+          FROM (SELECT p.*, t.touch_ts, t.impression_id, t.campaign_id, t.channel, y.payment_status, y.payment_cents, o.promo_cents,
+                  CAST(floor(epoch_us(p.purchase_ts) / 1000000) - floor(epoch_us(t.touch_ts) / 1000000) AS BIGINT) AS lag_seconds
+            FROM (SELECT * FROM v_journey_sold WHERE journey_id IS NOT NULL
+                  QUALIFY row_number() OVER (PARTITION BY journey_id, purchase_type ORDER BY purchase_ts DESC, purchase_key DESC) = 1) p
+            LEFT JOIN (SELECT * FROM v_journey_touches QUALIFY row_number() OVER (PARTITION BY journey_id ORDER BY touch_ts DESC, impression_id DESC) = 1) t USING (journey_id)
+            LEFT JOIN (SELECT * FROM v_journey_payments WHERE journey_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY journey_id ORDER BY payment_ts DESC, purchase_key DESC) = 1) y USING (journey_id)
+            LEFT JOIN (SELECT journey_id, CAST(sum(promo_cents) AS BIGINT) AS promo_cents FROM v_journey_promotions WHERE journey_id IS NOT NULL GROUP BY 1) o USING (journey_id)))""",
+    "v_last_touch": """
+        SELECT p.match_key, p.purchase_id, p.purchase_ts, p.total_cents, t.touch_ts, t.impression_id, t.campaign_id, t.channel
+        FROM v_purchases p JOIN v_touches t ON t.match_key = p.match_key AND t.touch_ts <= p.purchase_ts AND t.touch_ts >= p.purchase_ts - INTERVAL 7 DAY
+        QUALIFY row_number() OVER (PARTITION BY p.purchase_id ORDER BY t.touch_ts DESC, t.impression_id DESC) = 1""",
     "v_pings": """
         SELECT event_id, ts AS event_ts, user_id % 10 AS store_id, 'BLE' || CAST(user_id AS VARCHAR) AS customer_ble_id,
                user_id AS customer_id, event_type AS zone FROM events""",
