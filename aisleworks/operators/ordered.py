@@ -1,10 +1,10 @@
 """Ordered per-key work (lag, lead, running sum, last value) that survives hot keys.
 
-A plain window sends all rows of a key to one task. Here a key with more rows than
-``spark.aisleworks.hotKeyRows`` is cut into slices of its leading order column, the
-window runs per (key, slice), and one summary row per hot slice carries totals and edge
-rows over to the next slice. Ordinary keys keep one slice, so they pay only for a
-map-side combined row count.
+A plain window sends all rows of a key to one task. ``find_hot_keys`` therefore counts rows
+per key first (map-side combined, a narrow scan). While no key has more than
+``spark.aisleworks.hotKeyRows`` rows the plain window is used. Otherwise the hot keys are
+cut into slices of the leading order column, the window runs per (key, slice), and one
+summary row per hot slice carries totals and edge rows over to the next slice.
 
 Broadcast bounds: the threshold in force is ``L = max(hotKeyRows, N / MAX_HOT_KEYS)`` for
 ``N`` input rows, so at most ``MAX_HOT_KEYS`` keys are hot and they have at most
@@ -14,19 +14,29 @@ Broadcast bounds: the threshold in force is ``L = max(hotKeyRows, N / MAX_HOT_KE
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleworks.session import hot_key_rows
+from aisleworks.session import checkpointed, hot_key_rows
 
 SLICE, HOT = "_slice", "_hot"
 MAX_HOT_KEYS = 50_000
 SLACK = 4  # slices per needed slice, so that uneven order values still give small tasks
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Result of the row count per key; ``spans`` is None when no key is hot."""
+
+    keys: tuple[str, ...]
+    at: str
+    spans: DataFrame | None
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """The leading order column as a bigint that keeps its order (equal values stay equal)."""
     kind = df.schema[name].dataType
@@ -40,12 +50,8 @@ def as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot slice on {name}: {kind.simpleString()}")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def slice_hot_keys(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Add ``_slice`` (0 for ordinary keys) and ``_hot``."""
+def find_hot_keys(df: DataFrame, keys: Sequence[str], at: str) -> HotKeys:
+    """Count rows per key now. Valid for every later subset of ``df`` on the same keys."""
     number = as_number(df, at)
     per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
         F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")
@@ -60,15 +66,17 @@ def slice_hot_keys(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
             F.ceil((F.col("_hi") - F.col("_lo") + 1) / (F.ceil(F.col("_n") / F.col("_limit")) * SLACK)),
         ).cast("bigint").alias("_width"),
     )
-    match = reduce(
-        lambda a, b: a & b, [df[k].eqNullSafe(spans[f"_k{i}"]) for i, k in enumerate(keys)]
-    )
-    joined = df.join(F.broadcast(spans), match, "left")
+    return HotKeys(tuple(keys), at, None if spans.isEmpty() else spans)
+
+
+def slice_hot_keys(df: DataFrame, hot: HotKeys) -> DataFrame:
+    """Add ``_slice`` (-1 for ordinary keys) and ``_hot``."""
+    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot.spans[f"_k{i}"]) for i, k in enumerate(hot.keys)])
+    joined = df.join(F.broadcast(hot.spans), match, "left")
+    number = as_number(df, hot.at)
     return joined.select(
         *[df[c] for c in df.columns],
-        F.coalesce(
-            F.floor((as_number(df, at) - F.col("_lo")) / F.col("_width")), F.lit(-1)
-        ).cast("bigint").alias(SLICE),
+        F.coalesce(F.floor((number - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("bigint").alias(SLICE),
         F.col("_lo").isNotNull().alias(HOT),
     )
 
@@ -82,6 +90,7 @@ def ordered(
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
+    hot: HotKeys | None = None,
     keep_slices: bool = False,
 ) -> DataFrame:
     """Add ordered columns per key.
@@ -92,39 +101,59 @@ def ordered(
     ``latest``    the last non-NULL value up to and with the current row
 
     ``order`` must be a total order within a key for repeatable results; its first
-    column decides the slices, so rows that tie on it stay in one slice.
+    column decides the slices, so rows that tie on it stay in one slice. Several steps on
+    one set of keys share one ``hot`` and pass the slices on with ``keep_slices``.
     """
     running, previous = running or {}, previous or {}
     following, latest = following or {}, latest or {}
+    hot = hot or find_hot_keys(df, keys, order[0])
+    if hot.spans is None:
+        return _plain(df, keys, order, running, previous, following, latest)
+    return _sliced(df, keys, order, running, previous, following, latest, hot, keep_slices)
+
+
+def _plain(df, keys, order, running, previous, following, latest) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {n: F.sum(e).over(upto) for n, e in running.items()}
+    added |= {n: F.last(e, ignorenulls=True).over(upto) for n, e in latest.items()}
+    added |= {n: F.lag(e).over(w) for n, e in previous.items()}
+    added |= {n: F.lead(e).over(w) for n, e in following.items()}
+    kept = [c for c in df.columns if c not in added]
+    return df.select(*kept, *[c.alias(n) for n, c in added.items()])
+
+
+def _sliced(df, keys, order, running, previous, following, latest, hot, keep_slices) -> DataFrame:
     names = [c for c in df.columns if c not in (SLICE, HOT)]
-    sliced = df if SLICE in df.columns else slice_hot_keys(df, keys, order[0])
+    # A chained step would compute its input twice (rows and slice edges): fix it first.
+    sliced = checkpointed(df) if SLICE in df.columns else slice_hot_keys(df, hot)
     w = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     inner = [F.sum(e).over(upto).alias(f"_r_{n}") for n, e in running.items()]
     inner += [F.last(e, ignorenulls=True).over(upto).alias(f"_l_{n}") for n, e in latest.items()]
     if previous:
-        inner.append(F.lag(_pack(previous)).over(w).alias("_prev"))
+        inner.append(F.lag(_pack(previous)).over(w).alias("_before"))
     if following:
-        inner.append(F.lead(_pack(following)).over(w).alias("_next"))
+        inner.append(F.lead(_pack(following)).over(w).alias("_after"))
     body = sliced.select("*", *inner)
 
     place = F.struct(*order)
     sums = [F.sum(e).alias(f"_cr_{n}") for n, e in running.items()]
     sums += [F.max_by(e, F.when(e.isNotNull(), place)).alias(f"_cl_{n}") for n, e in latest.items()]
     if previous:
-        sums.append(F.max_by(_pack(previous), place).alias("_cprev"))
+        sums.append(F.max_by(_pack(previous), place).alias("_cbefore"))
     if following:
-        sums.append(F.min_by(_pack(following), place).alias("_cnext"))
+        sums.append(F.min_by(_pack(following), place).alias("_cafter"))
     edge = sliced.where(F.col(HOT)).groupBy(*keys, SLICE).agg(*sums)
     across = Window.partitionBy(*keys).orderBy(SLICE)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum(f"_cr_{n}").over(before).alias(f"_cr_{n}") for n in running]
-    carried += [F.last(f"_cl_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in latest]
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(f"_cr_{n}").over(earlier).alias(f"_cr_{n}") for n in running]
+    carried += [F.last(f"_cl_{n}", ignorenulls=True).over(earlier).alias(f"_cl_{n}") for n in latest]
     if previous:
-        carried.append(F.lag("_cprev").over(across).alias("_cprev"))
+        carried.append(F.lag("_cbefore").over(across).alias("_cbefore"))
     if following:
-        carried.append(F.lead("_cnext").over(across).alias("_cnext"))
+        carried.append(F.lead("_cafter").over(across).alias("_cafter"))
     edge = edge.select(
         *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_es"), *carried
     )
@@ -140,9 +169,9 @@ def ordered(
     for n in latest:
         added[n] = F.coalesce(f"_l_{n}", f"_cl_{n}")
     for n in previous:
-        added[n] = F.coalesce("_prev", "_cprev")[n]
+        added[n] = F.coalesce("_before", "_cbefore")[n]
     for n in following:
-        added[n] = F.coalesce("_next", "_cnext")[n]
+        added[n] = F.coalesce("_after", "_cafter")[n]
     kept = [c for c in names if c not in added] + ([SLICE, HOT] if keep_slices else [])
     return joined.select(*kept, *[c.alias(n) for n, c in added.items()])
 

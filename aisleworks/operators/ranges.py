@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleworks.operators.ordered import ordered
+from aisleworks.operators.ordered import find_hot_keys, ordered
 from aisleworks.session import checkpointed
 
 DAY_SECONDS = 86_400
@@ -211,9 +211,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percents:
     group = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
     counts = base.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = ordered(counts, group, [value], running={"_upto": F.col("_n")})
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    ranked = placed.join(totals, group)
+    hot = find_hot_keys(counts, group, value)
+    placed = ordered(counts, group, [value], running={"_upto": F.col("_n")}, hot=hot)
+    if hot.spans is None:
+        ranked = placed.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+    else:
+        ranked = placed.join(counts.groupBy(*group).agg(F.sum("_n").alias("_total")), group)
     picks = []
     for name, p in percents.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from aisleworks.operators import gold, ledger, ranges
-from aisleworks.operators.ordered import ordered
+from aisleworks.operators.ordered import find_hot_keys
 from aisleworks.plans.registry import query
 
 ORDER = ["event_ts", "receipt_id", "line_num", "product_id", "gross_cents"]
@@ -18,7 +18,12 @@ ledger AS (SELECT *, CAST(sum(quantity) OVER (PARTITION BY store_id, brand ORDER
 
 def store_ledger(t):
     opened = ledger.with_opening(t.inventory_txn, KEYS, quantity=F.lit(120).cast("bigint"), at="event_ts")
-    return ledger.running_balance(opened, KEYS, ORDER)
+    return ledger.running_balance(opened, KEYS, ORDER, hot=ledger_hot(t))
+
+
+def ledger_hot(t):
+    """Counted on the movements themselves; the opening row adds one per key."""
+    return find_hot_keys(t.inventory_txn, KEYS, "event_ts")
 
 
 @query("running_balance", LEDGER_SQL + " SELECT store_id, brand, event_ts, receipt_id, line_num, product_id, txn_type, quantity, balance FROM ledger")
@@ -30,7 +35,7 @@ def running_balance(t):
 SELECT store_id, brand, event_ts, CAST(event_ts AS DATE) AS event_date, receipt_id, balance, previous_balance, abs(quantity) AS last_known_quantity FROM p
 WHERE balance <= 0 AND previous_balance > 0 QUALIFY row_number() OVER (PARTITION BY store_id, brand, CAST(event_ts AS DATE) ORDER BY {ORDER_SQL}) = 1""")
 def stockout_crossings(t):
-    return ledger.stockout_crossings(store_ledger(t), KEYS, ORDER, at="event_ts").select(
+    return ledger.stockout_crossings(store_ledger(t), KEYS, ORDER, at="event_ts", hot=ledger_hot(t)).select(
         "store_id", "brand", "event_ts", "event_date", "receipt_id", "balance", "previous_balance", F.abs("quantity").alias("last_known_quantity")
     )
 

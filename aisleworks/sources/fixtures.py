@@ -199,12 +199,19 @@ class Tables:
             F.col("user_id").alias("customer_id"), F.col("event_type").alias("zone"),
         )
 
+    @cached_property
+    def visitor_hot(self):
+        """Hot visitors, counted once for all ordered steps on pings and zone changes."""
+        from aisleworks.operators.ordered import find_hot_keys
+
+        return find_hot_keys(self.pings, ["store_id", "customer_ble_id"], "event_ts")
+
     @cached_property
     def zone_changes(self) -> DataFrame:
         from aisleworks.operators.journey import zone_changes_from_pings
 
         return zone_changes_from_pings(
-            self.pings, ["store_id", "customer_ble_id"], ["event_ts", "event_id"], "zone"
+            self.pings, ["store_id", "customer_ble_id"], ["event_ts", "event_id"], "zone", hot=self.visitor_hot
         )
 
     @cached_property
