@@ -122,9 +122,8 @@ def dwell_rows(t):
     return features.dwell_features(s, s.where("departed > arrived"))
 
 
-@query("dwell_features")
+@query("dwell_features", DWELL_SQL)
 def dwell_features(t):
-    """Checked against brute force in the tests; the pairwise statement is too slow on whole tables."""
     return dwell_rows(t).drop("arrived", "departed", "dwell_minutes")
 
 
