@@ -96,9 +96,7 @@ def promotion_lift(t):
 def calendar_window_sales(t):
     sales, episodes = lift_inputs(t)
     keys = ["store_id", "promo_code", "episode", "product_id"]
-    found = sales.where("promo_code IS NOT NULL").join(episodes, ["store_id", "promo_code"]).where(
-        F.col("event_date").between(F.col("start_date"), F.col("end_date"))
-    ).select(*keys, "start_date").distinct()
+    found = sales.where("promo_code IS NOT NULL").join(episodes, ["store_id", "promo_code", "event_date"]).select(*keys, "start_date").distinct()
     daily_keys = ["store_id", "product_id", "event_date"]
     daily = sales.groupBy(*daily_keys).agg(F.sum("quantity").alias("quantity"), F.sum("ext_cents").alias("ext_cents"))
     skip = sales.where("promo_code IS NOT NULL").select(*daily_keys).distinct()

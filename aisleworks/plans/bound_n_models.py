@@ -73,12 +73,7 @@ SELECT *, CAST(demand_30d AS DOUBLE) / 30 AS demand_velocity_daily, on_hand / nu
 
 
 def stock_rows(t):
-    book = store_ledger(t)
-    shut = ledger.end_of_day(book, KEYS, ORDER, at="event_ts").select(*KEYS, "snapshot_date", F.col("balance").alias("on_hand"))
-    sold = book.groupBy(*KEYS, F.to_date("event_ts").alias("snapshot_date")).agg(
-        F.sum(F.when(F.col("txn_type") == "SALE", -F.col("quantity")).otherwise(0)).alias("demand")
-    )
-    return features.stockout_features(shut.join(sold, [*KEYS, "snapshot_date"]), KEYS, horizon=30)
+    return features.stockout_features(ledger.daily_close(store_ledger(t), KEYS, ORDER, at="event_ts"), KEYS, horizon=30)
 
 
 @query("stockout_features", STOCK_SQL)
