@@ -26,8 +26,13 @@ def utc_timestamps(df: DataFrame) -> DataFrame:
     )
 
 
+def whole(column) -> F.Column:
+    """Half-up rounding of a non-negative double without a detour over decimals."""
+    return F.floor(column + 0.5)
+
+
 def cents(column) -> F.Column:
-    return F.round(column * 100).cast("bigint")
+    return whole(column * 100)
 
 
 class Tables:
@@ -63,7 +68,7 @@ class Tables:
     @cached_property
     def lines(self) -> DataFrame:
         gross = cents(F.col("l_extendedprice"))
-        net = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("bigint")
+        net = whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100)
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("receipt_id"),
             F.col("l_linenumber").alias("line_num"),
@@ -72,14 +77,14 @@ class Tables:
             F.col("l_shipdate").alias("event_ts"),
             F.to_date("l_shipdate").alias("event_date"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
-            F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("bigint").alias("unit_cents"),
+            whole(F.col("l_extendedprice") * 100 / F.col("l_quantity")).alias("unit_cents"),
             gross.alias("gross_cents"),
             net.alias("ext_cents"),
             (gross - net).alias("discount_cents"),
-            F.round(net * F.col("l_tax")).cast("bigint").alias("tax_cents"),
+            whole(net * F.col("l_tax")).alias("tax_cents"),
             F.when(
                 F.col("l_discount") > 0,
-                F.concat(F.lit("PCT"), F.lpad(F.round(F.col("l_discount") * 100).cast("int").cast("string"), 2, "0")),
+                F.concat(F.lit("PCT"), F.lpad(cents(F.col("l_discount")).cast("string"), 2, "0")),
             ).alias("promo_code"),
             F.when(F.col("l_returnflag") == "R", "RETURN").otherwise("SALE").alias("line_type"),
         )
@@ -97,8 +102,8 @@ class Tables:
             F.col("p_brand").alias("department"),
             F.col("p_type").alias("category"),
             cents(F.col("p_retailprice")).alias("msrp_cents"),
-            F.round(F.col("p_retailprice") * 90).cast("bigint").alias("sale_cents"),
-            F.round(F.col("p_retailprice") * 60).cast("bigint").alias("cost_cents"),
+            whole(F.col("p_retailprice") * 90).alias("sale_cents"),
+            whole(F.col("p_retailprice") * 60).alias("cost_cents"),
         )
 
     @cached_property
