@@ -3,6 +3,8 @@
 The fits use fewer boosting rounds than the library defaults allow, as the fixtures are small.
 """
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from aisleworks.ml import features, models
@@ -144,8 +146,8 @@ def demand_forecast(t):
     """14 days per brand with intervals from a calibration run and errors from a test run."""
     keys, horizon = ["brand"], 14
     daily = brand_daily(t)
-    last = daily.agg(F.max("sale_date").alias("m"))
-    day = lambda back: last.select(F.date_sub("m", back)).scalar()
+    newest = daily.agg(F.max("sale_date")).first()[0]  # one value; all split dates hang on it
+    day = lambda back: F.lit(newest - timedelta(days=back))
     series = ledger.dense_calendar(
         daily, keys, date="sale_date", measures=["units"], end=day(0), eligible_until=day(2 * horizon), min_history_days=90, min_daily=0.5
     ).persist()
@@ -154,7 +156,10 @@ def demand_forecast(t):
         keys, "sale_date", "units", means=[7, 14, 28], deviations=[14],
     )
     model = models.fit_demand(table.where((F.col("sale_date") <= day(2 * horizon)) & F.col("lag_28").isNotNull()), "units", iterations=ROUNDS)
-    run = lambda back: models.recursive_forecast(model, models.history_state(series, keys, "sale_date", "units", day(back)), keys, horizon)
+    # Calibration, test and final run differ only in their origin, so they are one run.
+    states = [models.history_state(series, keys, "sale_date", "units", day(back)) for back in (2 * horizon, horizon, 0)]
+    runs = models.recursive_forecast(model, states[0].unionByName(states[1]).unionByName(states[2]), keys, horizon).persist()
+    run = lambda back: runs.where(F.col("origin") == day(back))
     actual = series.select(*keys, F.col("sale_date").alias("forecast_date"), "units")
     residuals = run(2 * horizon).join(actual, [*keys, "forecast_date"]).groupBy("step").agg(
         F.percentile_approx(F.abs(F.col("units") - F.col("predicted_units")), F.lit(0.9), F.lit(10_000)).alias("width")
