@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             continue
         values = batch.column(batch.schema.get_field_index(column))
         sizes = np.zeros(n, dtype=np.int64)
-        got = pa.compute.binary_length(values)
-        sizes[:] = pa.compute.fill_null(got, 0).to_numpy(zero_copy_only=False)
+        got = pc.binary_length(values)
+        sizes[:] = pc.fill_null(got, 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         start = 0
         while start < n:

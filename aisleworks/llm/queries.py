@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import packing, simhash, token_counts
+from aisleworks.llm import language, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +53,18 @@ def op4_token_counts(spark, sf_dir):
 @bound("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@bound("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@bound("op8_quality_rules", rules.statement())
+def op8_quality_rules(spark, sf_dir):
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+@bound("op5_language")
+def op5_language(spark, sf_dir):
+    return language.predict(table(spark, sf_dir, "documents"))

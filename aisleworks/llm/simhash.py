@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,7 @@ def links(prints: DataFrame, id_column: str, distance: int = 2) -> DataFrame:
         for batch in batches:
             a, b = [], []
             rows = batch.column("members")
-            flat, offsets = rows.flatten(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(rows).to_numpy())))
+            flat, offsets = rows.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(rows).to_numpy())))
             reps, prints_ = flat.field("rep").to_numpy(zero_copy_only=False), flat.field("fp").to_numpy().view(np.uint64)
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 near = np.bitwise_count(prints_[s:e, None] ^ prints_[None, s:e]) <= distance
