@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import language, mixing, packing, rules, simhash, token_counts
+from aisleworks.llm import language, mixing, packing, rules, simhash, templates, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op8_quality_rules(spark, sf_dir):
 @bound("op5_language")
 def op5_language(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"))
+
+
+@bound("op10_html_extraction")
+def op10_html_extraction(spark, sf_dir):
+    return templates.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
