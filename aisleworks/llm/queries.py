@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import language, mixing, packing, rules, simhash, templates, token_counts
+from aisleworks.llm import itq, language, mixing, packing, rules, simhash, templates, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op5_language(spark, sf_dir):
 @bound("op10_html_extraction")
 def op10_html_extraction(spark, sf_dir):
     return templates.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@bound("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark, sf_dir):
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
