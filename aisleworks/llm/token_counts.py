@@ -2,7 +2,7 @@
 
 Texts are cut into blocks of about ``BLOCK_BYTES``. A block holds its distinct pre-tokens once
 and the frequencies of its documents as a sparse matrix. The pre-tokens of all blocks are made
-distinct, each is tokenised once, and the piece counts are joined back to the blocks' lists;
+brought together, each is tokenised once, and the piece counts go back to the blocks' lists;
 a matrix product then gives the counts of the documents. A frequent pre-token is one row per
 block, never one per document, so no key is hot, and what a task holds is one block.
 """
@@ -69,7 +69,7 @@ class PreTokens:
 
 def _blocks(docs: DataFrame, path: str, id_column: str) -> DataFrame:
     schema = T.StructType([
-        T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(docs.schema[id_column].dataType)),
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_column].dataType)),
         T.StructField("n_bytes", T.ArrayType(T.LongType())), T.StructField("vocab", T.ArrayType(T.StringType())),
         T.StructField("owner", T.BinaryType()), T.StructField("term", T.BinaryType()), T.StructField("times", T.BinaryType()),
     ])
@@ -103,9 +103,9 @@ def _blocks(docs: DataFrame, path: str, id_column: str) -> DataFrame:
             count = np.bincount(inverse, weights=np.repeat(times, each), minlength=len(pair)).astype("<i4")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f"{task}-{number}"]), pa.array([batch.column(id_column).to_pylist()], pa.list_(batch.column(id_column).type)),
+                    pa.array([task << 32 | number]), pa.array([batch.column(id_column).to_pylist()], pa.list_(batch.column(id_column).type)),
                     pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([list(vocab)], kind),
-                    *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (pair // max(1, len(vocab)), pair % max(1, len(vocab)), count)],
+                    *[pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (pair // max(1, len(vocab)), np.diff(pair % max(1, len(vocab)), prepend=0), count)],  # terms as differences: they compress better
                 ],
                 names=[f.name for f in schema],
             )
@@ -126,13 +126,28 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataF
     listed = blocks.select("block", F.posexplode("vocab").alias("pos", "pretoken"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal pre-tokens come one after the other: each is tokenised once."""
         cut = PreTokens(path)
+        before, known = None, 0
         for batch in batches:
-            counts = [cut.pieces(p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32())], names=["pretoken", "pieces"])
+            counts = []
+            for pretoken in batch.column("pretoken").to_pylist():
+                if pretoken != before:
+                    before, known = pretoken, cut.pieces(pretoken)
+                counts.append(known)
+            # Back to the blocks: one row per block and batch, not one per pre-token.
+            owner, pos, got = batch.column("block").to_numpy(), batch.column("pos").to_numpy(), np.array(counts, dtype="<i4")
+            order = np.argsort(owner, kind="stable")
+            ids, begin = np.unique(owner[order], return_index=True)
+            places, amounts = np.split(pos[order].astype("<i4"), begin[1:]), np.split(got[order], begin[1:])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), *[pa.array([x.tobytes() for x in part] if len(ids) else [], pa.binary()) for part in (places, amounts)]], names=["block", "pos", "pieces"]
+            )
 
-    known = map_arrow(listed.select("pretoken").distinct(), pieces, "pretoken string, pieces int")
-    per_block = listed.join(known, "pretoken").groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("counts"))
+    sorted_ = listed.repartition("pretoken").sortWithinPartitions("pretoken")
+    per_block = map_arrow(sorted_, pieces, "block long, pos binary, pieces binary").groupBy("block").agg(
+        F.collect_list(F.struct("pos", "pieces")).alias("counts")
+    )
     schema = T.StructType([docs.schema[id_column], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +156,11 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataF
                 row = batch.slice(i, 1)
                 ids = row.column("ids").flatten()
                 got = row.column("counts").flatten()
-                weight = np.zeros(max(1, len(got)), dtype=np.int64)
-                if len(got):
-                    weight[got.field("pos").to_numpy()] = got.field("pieces").to_numpy()
+                place, pieces_ = (np.frombuffer(b"".join(got.field(c).to_pylist()), dtype="<i4") for c in ("pos", "pieces"))
+                weight = np.zeros(max(1, len(place)), dtype=np.int64)
+                weight[place] = pieces_
                 owner, term, times = (np.frombuffer(row.column(c)[0].as_py(), dtype="<i4") for c in ("owner", "term", "times"))
-                tokens = np.bincount(owner, weights=weight[term] * times, minlength=len(ids)).astype(np.int64)
+                tokens = np.bincount(owner, weights=weight[np.cumsum(term)] * times, minlength=len(ids)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, row.column("n_bytes").flatten(), pa.array(tokens)], names=[f.name for f in schema])
 
     return map_arrow(blocks.drop("vocab").join(per_block, "block", "left"), product, schema)
