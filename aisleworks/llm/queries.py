@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import itq, language, mixing, packing, rules, simhash, templates, token_counts
+from aisleworks.llm import cotraining, itq, language, mixing, packing, paragraphs, rules, simhash, templates, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,16 @@ def op1_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@bound("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@bound("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @bound("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
