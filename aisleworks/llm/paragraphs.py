@@ -173,15 +173,20 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
         found.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("bands").alias("bands")),
         "paragraph-classes",
     )
-    banded = classes.select("h", F.explode("bands").alias("bucket"))
-    member = F.xxhash64("h")
-    buckets = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 24)).alias("s")
-    ).where("n > 1")
-    alone = materialised(buckets.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")), "buckets")
-    met = materialised(banded.join(alone.select("bucket"), "bucket"), "bucket-members")
-    bodies = found.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("body").alias("body"))
-    edges = links(met.join(materialised(bodies, "bodies"), "h"), similarity, words)
+    # Bands carry 64-bit names of classes; a collision of names only adds a candidate. The joins
+    # are merged at every size: what they join with grows with the corpus.
+    banded = classes.select(F.xxhash64("h").alias("member"), F.explode("bands").alias("bucket"))
+    several = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    met = materialised(banded.join(several.hint("merge"), "bucket"), "bucket-members")
+    alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("member").alias("x"), F.sum(F.shiftright("member", 24)).alias("s"))
+    alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    met = met.join(alone, "bucket")
+    bodies = (
+        found.select("h", "body", F.xxhash64("h").alias("member")).join(met.select("member").distinct().hint("merge"), "member", "left_semi")
+        .groupBy("h", "member").agg(F.min("body").alias("body"))
+    )
+    met = met.join(materialised(bodies, "bodies"), "member").drop("member")
+    edges = links(met, similarity, words)
     reached = components(edges).withColumnRenamed("node", "h")
     rooted = materialised(classes.drop("bands").join(reached, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component"), "paragraph-roots")
     # Classes without links are clusters by themselves; only linked ones are added up by root.
