@@ -341,11 +341,13 @@ def page(host, k, body, extra=""):
 
 def test_pages_main_text(spark):
     rows = [page("one.example", k, f"<p>First &amp; text {k}\n of  words&nbsp;here.</p><p>Second <b>part</b> {k * 7}.</p>") for k in range(1, 9)]
+    rows += [(9, "http://one.example/9", "<html><body><nav>Home</nav><!-- <article> --><div class='text'><p>Laid out otherwise.</p></div></body></html>")]
     rows += [page("two.example", 20, "<p>A lone page &#228; &lt;b&gt;</p>")]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in templates.extract(docs).collect()}
     for k in range(1, 9):
         assert got[k] == f"Title {k}\nFirst & text {k} of words here.\nSecond part {k * 7}."
+    assert got[9] == "Laid out otherwise."
     assert got[20] == "Title 20\nA lone page ä <b>"
 
 
@@ -360,6 +362,7 @@ def test_pages_edges(spark):
     got = templates.extract(docs).collect()
     assert len(got) == len(rows) and all(r.text is not None for r in got)
     text = {r.page_id: r.text for r in got}
+    assert text[3] == "plain text only" and text[None] == "unclosed tags"
     assert text[1] == text[2] == "" and text[5] == "deep" and text[6] == "\n".join(["word & more"] * 20_000)
     assert templates.extract(docs.limit(0)).count() == 0
 
