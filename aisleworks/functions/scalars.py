@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DRAW_RANGE = 10**12
-
-
-def hash_number(columns: Sequence[Column], salt: str, seed: int) -> Column:
-    """Non-negative 62-bit hash, stable across runs and partitionings."""
-    return F.pmod(F.xxhash64(*columns, F.lit(f"{salt}|{seed}")), F.lit(2**62))
-
-
-def uniform(columns: Sequence[Column], salt: str, seed: int) -> Column:
-    """Deterministic draw in [0, 1)."""
-    return (hash_number(columns, salt, seed) % F.lit(DRAW_RANGE)) / F.lit(float(DRAW_RANGE))
-
-
-def gaussian(columns: Sequence[Column], salt: str, seed: int) -> Column:
-    """Roughly standard normal: three centred uniforms, scaled."""
-    draws = [uniform(columns, f"{salt}|g{i}", seed) for i in (1, 2, 3)]
-    return (draws[0] + draws[1] + draws[2] - 1.5) * 2.0
+def portable_number(text: Column) -> Column:
+    """40-bit number from MD5, reproducible in any SQL engine."""
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint")
 
 
 def portable_uniform(text: Column) -> Column:
     """Draw in [0, 1) from MD5, reproducible in any SQL engine."""
-    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint") / F.lit(float(16**10))
+    return portable_number(text) / F.lit(float(16**10))
+
+
+def portable_normal(text: Column) -> Column:
+    """Standard normal draw: Box-Muller on two draws of the same text."""
+    radius, angle = (portable_uniform(F.concat(text, F.lit(part))) for part in ("|radius", "|angle"))
+    return F.sqrt(F.log(1 - radius) * -2) * F.cos(angle * (2 * math.pi))
 
 
 def weighted_pick(draw: Column, weighted: Sequence[tuple[str, int]]) -> Column:
-    """Category whose cumulative weight the draw falls into."""
-    total = sum(w for _, w in weighted)
-    reached, out = 0, None
-    for value, weight in weighted[:-1]:
-        reached += weight
-        hit = draw * total < reached
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return F.lit(weighted[-1][0]) if out is None else out.otherwise(weighted[-1][0])
+    """Category whose share of the total weight the draw falls into."""
+    shares = list(accumulate(weight for _, weight in weighted))
+    return F.get(F.array(*[F.lit(value) for value, _ in weighted]), inverse_cdf_pick(draw * shares[-1], shares))
 
 
 def inverse_cdf_pick(draw: Column, cumulative: Sequence[float]) -> Column:
@@ -63,7 +52,8 @@ def promo_eligible(month: Column, subtotal: Column, quantity: Column, *, months:
 
 
 def date_dimension(span: DataFrame, first: str, last: str) -> DataFrame:
-    """Calendar attributes for every day of a one-row span; the fiscal year starts in July.
+    """Calendar attributes for every day of a one-row span; the fiscal year starts in
+    July and is named by the year it starts in.
 
     ``week_sunday`` counts weeks from the first Sunday of the year (0 before it).
     """
@@ -73,11 +63,12 @@ def date_dimension(span: DataFrame, first: str, last: str) -> DataFrame:
         d, F.date_format(d, "yyyyMMdd").cast("int").alias("date_key"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
         F.month(d).alias("month"), F.dayofmonth(d).alias("day"), (F.weekday(d) + 1).alias("iso_day_of_week"),
         F.floor((F.dayofyear(d) + 6 - (F.dayofweek(d) - 1)) / 7).cast("int").alias("week_sunday"),
-        F.when(F.month(d) >= 7, F.year(d) + 1).otherwise(F.year(d)).alias("fiscal_year"),
-        ((F.month(d) + 5) % 12).cast("int").alias("fiscal_month_index"), F.dayofweek(d).isin(1, 7).alias("is_weekend"),
+        F.date_format(d, "MMMM").alias("month_name"), F.date_format(d, "EEEE").alias("day_name"),
+        F.year(F.add_months(d, -6)).alias("fiscal_year"), F.quarter(F.add_months(d, -6)).alias("fiscal_quarter"), F.dayofweek(d).isin(1, 7).alias("is_weekend"),
     )
 
 
-def seeded_split(columns: Sequence[Column], salt: str, seed: int, holdout_pct: int) -> Column:
-    """train / holdout by hash, independent of row order and partitioning."""
-    return F.when(F.pmod(F.xxhash64(*columns, F.lit(f"{salt}|{seed}")), F.lit(100)) < holdout_pct, "holdout").otherwise("train")
+def seeded_split(key: Column, seed: int, holdout_pct: int) -> Column:
+    """train / holdout by a draw from the key, independent of row order and partitioning."""
+    draw = portable_uniform(F.concat(key.cast("string"), F.lit(f"|holdout|{seed}")))
+    return F.when(draw * 100 < holdout_pct, "holdout").otherwise("train")

@@ -249,13 +249,13 @@ def anomaly_alert_rollup(t):
 
 
 @query("severity_sort", f"""
-SELECT alert_id, severity, anomaly_score FROM (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r FROM ({ALL_SQL}))
-ORDER BY r, abs(anomaly_score) DESC, alert_id LIMIT 100""")
+SELECT alert_id, severity, anomaly_score, CAST(r AS INTEGER) AS severity_rank FROM (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r FROM ({ALL_SQL}))
+ORDER BY r, abs(anomaly_score) DESC, alert_id""")
 def severity_sort(t):
     """Worst alerts first, by rank of the severity and not by its spelling."""
     return (
-        every_alert(t).orderBy(anomaly.severity_rank(F.col("severity")), F.desc(F.abs("anomaly_score")), "alert_id")
-        .limit(100).select("alert_id", "severity", "anomaly_score")
+        every_alert(t).select("alert_id", "severity", "anomaly_score", anomaly.severity_rank(F.col("severity")).cast("int").alias("severity_rank"))
+        .orderBy("severity_rank", F.desc(F.abs("anomaly_score")), "alert_id")
     )
 
 

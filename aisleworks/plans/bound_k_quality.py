@@ -251,10 +251,29 @@ def fn_money_cents(t):
     return t.events.select("event_id", c.alias("cents"), as_text(c).alias("amount"))
 
 
-@query("fn_seeded_draws")
+def md5_number(text: str) -> str:
+    """40 bits of the MD5 of a text, as DuckDB states them."""
+    return f"('0x' || substr(md5({text}), 1, 10))::BIGINT"
+
+
+def md5_draw(text: str) -> str:
+    return f"(CAST({md5_number(text)} AS DOUBLE) / 1099511627776.0::DOUBLE)"
+
+
+SEED_TEXT = "CAST(event_id AS VARCHAR) || '|7"
+
+
+@query("fn_seeded_draws", f"""
+SELECT event_id, {md5_number(SEED_TEXT + "|pick'")} AS h, {md5_draw(SEED_TEXT + "|u'")} AS u,
+  round(sqrt(-2 * ln(1 - {md5_draw(SEED_TEXT + "|g|radius'")})) * cos(2 * pi() * {md5_draw(SEED_TEXT + "|g|angle'")}), 6) AS g FROM events""")
 def fn_seeded_draws(t):
-    key = [F.col("event_id")]
-    return t.events.select("event_id", scalars.hash_number(key, "pick", 7).alias("h"), scalars.uniform(key, "u", 7).alias("u"), scalars.gaussian(key, "g", 7).alias("g"))
+    def seeded(name):
+        return F.concat(F.col("event_id").cast("string"), F.lit(f"|7|{name}"))
+
+    return t.events.select(
+        "event_id", scalars.portable_number(seeded("pick")).alias("h"), scalars.portable_uniform(seeded("u")).alias("u"),
+        F.round(scalars.portable_normal(seeded("g")), 6).alias("g"),
+    )
 
 
 DRAW_SQL = "CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || '|ab'), 1, 10))::BIGINT AS DOUBLE) / 1099511627776.0::DOUBLE"
@@ -312,16 +331,18 @@ def fn_promo_eligibility(t):
 @query("fn_dim_date", """
 WITH d AS (SELECT CAST(unnest(generate_series((SELECT min(o_orderdate) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY)) AS DATE) AS date)
 SELECT date, CAST(strftime(date, '%Y%m%d') AS INTEGER) AS date_key, CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS quarter, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day,
-  CAST(isodow(date) AS INTEGER) AS iso_day_of_week, CAST(strftime(date, '%U') AS INTEGER) AS week_sunday, CAST(CASE WHEN month(date) >= 7 THEN year(date) + 1 ELSE year(date) END AS INTEGER) AS fiscal_year,
-  CAST((month(date) + 5) % 12 AS INTEGER) AS fiscal_month_index, dayofweek(date) IN (0, 6) AS is_weekend FROM d""")
+  CAST(isodow(date) AS INTEGER) AS iso_day_of_week, CAST(strftime(date, '%U') AS INTEGER) AS week_sunday, strftime(date, '%B') AS month_name, strftime(date, '%A') AS day_name,
+  CAST(CASE WHEN month(date) >= 7 THEN year(date) ELSE year(date) - 1 END AS INTEGER) AS fiscal_year, CAST(CASE WHEN month(date) >= 7 THEN (month(date) - 7) // 3 + 1 ELSE (month(date) + 5) // 3 + 1 END AS INTEGER) AS fiscal_quarter, dayofweek(date) IN (0, 6) AS is_weekend FROM d""")
 def fn_dim_date(t):
     span = t.receipts.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last"))
     return scalars.date_dimension(span, "first", "last")
 
 
-@query("seeded_split")
+@query("seeded_split", f"""
+SELECT receipt_id, CASE WHEN {md5_draw("CAST(receipt_id AS VARCHAR) || '|holdout|42'")} * 100 < 20 THEN 'holdout' ELSE 'train' END AS split
+FROM (SELECT o_orderkey AS receipt_id FROM orders)""")
 def seeded_split(t):
-    return t.receipts.select("receipt_id", scalars.seeded_split([F.col("receipt_id")], "holdout", 42, 20).alias("split"))
+    return t.receipts.select("receipt_id", scalars.seeded_split(F.col("receipt_id"), 42, 20).alias("split"))
 
 
 # --- evaluation ---
