@@ -7,7 +7,7 @@ from aisleworks.plans.registry import query
 
 OLS_SQL = """
 daily0 AS (SELECT product_id, event_date, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(unit_cents) AS DOUBLE) / count(*) / 100.0 AS price, sum(ext_cents) AS revenue FROM v_lines GROUP BY 1, 2),
-chosen AS (SELECT product_id FROM daily0 GROUP BY 1 HAVING count(*) >= 20 ORDER BY sum(revenue) DESC, product_id LIMIT 500),
+chosen AS (SELECT product_id FROM daily0 GROUP BY 1 HAVING count(*) >= 20),
 fit AS (SELECT product_id, count(*) AS n_observations, regr_sxx(ln(quantity), ln(price)) AS sxx, regr_sxy(ln(quantity), ln(price)) AS sxy, regr_syy(ln(quantity), ln(price)) AS syy, avg(price) AS avg_price, avg(quantity) AS avg_daily_quantity
   FROM daily0 JOIN chosen USING (product_id) WHERE quantity > 0 AND price > 0 GROUP BY 1),
 ols AS (SELECT *, b - 1.96 * standard_error AS confidence_interval_lower, b + 1.96 * standard_error AS confidence_interval_upper FROM (
@@ -16,7 +16,7 @@ ols AS (SELECT *, b - 1.96 * standard_error AS confidence_interval_lower, b + 1.
 
 
 def fitted(t):
-    return pricing.elasticity(pricing.product_days(t.lines, min_days=20, top=500), min_observations=30)
+    return pricing.elasticity(pricing.product_days(t.lines, min_days=20), min_observations=30)
 
 
 OLS_SELECT = """SELECT product_id, n_observations, round(sxx, 6) AS sxx, round(sse, 6) AS sse, round(b, 6) AS elasticity_coefficient, round(standard_error, 6) AS standard_error, round(r_squared, 6) AS r_squared,
