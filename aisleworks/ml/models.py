@@ -162,14 +162,15 @@ def kmeans_segments(rfm: DataFrame, features: Sequence[str], *, ks: Sequence[int
 # --- market basket ---
 
 
-def association_rules(baskets: DataFrame, *, support: float, confidence: float, top: int) -> DataFrame:
+def association_rules(baskets: DataFrame, *, support: float, confidence: float, top: int | None = None) -> DataFrame:
     """One-to-one rules by lift, support and names."""
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     single = model.associationRules.where((F.size("antecedent") == 1) & (F.size("consequent") == 1))
-    return (
+    rules = (
         single.select(F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), "confidence", "lift", "support")
-        .orderBy(F.desc("lift"), F.desc("support"), "antecedent", "consequent").limit(top)
+        .orderBy(F.desc("lift"), F.desc("support"), "antecedent", "consequent")
     )
+    return rules if top is None else rules.limit(top)
 
 
 def recommendations(rules: DataFrame, per_item: int) -> DataFrame:

@@ -195,4 +195,4 @@ def market_basket(t):
 
 @query("product_recommendations")
 def product_recommendations(t):
-    return models.recommendations(models.association_rules(baskets(t), support=0.01, confidence=0.1, top=100), 5)
+    return models.recommendations(models.association_rules(baskets(t), support=0.01, confidence=0.1), 5)
