@@ -99,23 +99,27 @@ def paragraphs(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_
 def jaccard_forest(bodies: list[bytes], similarity: float = SIMILARITY, words: int = WORDS) -> np.ndarray:
     """For each paragraph the smallest index that links of at least ``similarity`` reach."""
     hashes, edges = shingles(bodies, words)
-    owner = np.repeat(np.arange(len(bodies)), np.diff(edges))
+    return set_forest(hashes, np.repeat(np.arange(len(bodies)), np.diff(edges)), len(bodies), similarity)
+
+
+def set_forest(hashes: np.ndarray, owner: np.ndarray, n: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The same for ``n`` sets, given as element hashes and the set of each."""
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[new], owner[new]
-    sizes = np.bincount(owner, minlength=len(bodies))
+    sizes = np.bincount(owner, minlength=n)
     _, code, times = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = times[code] > 1  # a shingle of one paragraph only adds to no intersection
     owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
-    common = np.zeros((len(bodies), len(bodies)), dtype=np.float64)
+    common = np.zeros((n, n), dtype=np.float64)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     width = 2048
     for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, (low, low + width))
-        held = np.zeros((len(bodies), width), dtype=np.float32)
+        held = np.zeros((n, width), dtype=np.float32)
         held[owner[a:b], code[a:b] - low] = 1
         common += held @ held.T
     either = sizes[:, None] + sizes[None, :] - common

@@ -134,6 +134,35 @@ def test_empty_tables(spark):
     assert paragraphs.repeated(empty).count() == 0 and paragraphs.without_repeats(empty).count() == 0
 
 
+def linked_documents(rows):
+    """Smallest ids of the groups of documents that a Jaccard similarity of 0.8 links, over all pairs."""
+    sets = [(i, shingle_set(tokens(text or ""))) for i, text in rows]
+    root = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for k, (i, a) in enumerate(sets):
+            for j, b in sets[:k]:
+                common = len(a & b)
+                if common and root[i] != root[j] and common >= 0.8 * (len(a) + len(b) - common):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    return {r for i, r in root.items() if r == i}
+
+
+def test_edited_copies_go(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    base = words(120, 77)
+    for i in range(600):
+        line = list(base)
+        line[(i * 7) % 120] = f"edit{i}"
+        rows.append((10_000 + i, " ".join(line)))
+    rows += [(20_000, " ".join(words(12, 5))), (20_001, " ".join(words(12, 5)).upper() + "\n"), (20_002, ""), (20_003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted(linked_documents(rows))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
