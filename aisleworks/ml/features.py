@@ -40,6 +40,31 @@ def churn_features(sales: DataFrame, *, first: Column, last: Column, every: int,
     )
 
 
+def churn_rows(customers: DataFrame, sales: DataFrame, *, first: Column, last: Column, every: int, behind: int) -> DataFrame:
+    """``churn_features`` for every customer at every snapshot, lapsed and never active ones included.
+
+    Without a purchase in the look-back, counts, sums and the figures of the basket are zero;
+    ``recency_days`` then reaches back to the last purchase before it. A customer without any
+    purchase so far has one day more than the history from ``first - behind`` on is long.
+    """
+    c = F.col
+    keys = ["customer_id", "snapshot_date"]
+    everyone = customers.select("customer_id").unionByName(sales.select("customer_id")).where("customer_id IS NOT NULL").distinct()
+    base = F.unix_date(first)
+    step = F.greatest(F.lit(0), F.ceil((F.unix_date("event_date") + 1 - base) / F.lit(every)).cast("int"))
+    newest = sales.withColumn("snapshot_date", F.date_from_unix_date(base + step * every)).groupBy(*keys).agg(F.max("event_date").alias("_last"))
+    features = churn_features(sales, first=first, last=last, every=every, behind=behind).drop("recency_days")
+    # One row per snapshot in each window, so its size is bounded by the calendar.
+    so_far = F.max("_last").over(Window.partitionBy("customer_id").orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, 0))
+    none = F.datediff("snapshot_date", F.date_sub(first, behind)) + 1
+    return (
+        snapshot_grid(everyone, first, last, every=every).join(newest, keys, "left")
+        .withColumn("recency_days", F.coalesce(F.datediff(c("snapshot_date"), so_far), none)).drop("_last")
+        .join(features, keys, "left")
+        .fillna(0, ["purchases", "spend_cents", "active_days", "categories", "avg_basket_cents", "basket_stddev", "basket_cv"])
+    )
+
+
 def churn_labels(sales: DataFrame, *, first: Column, last: Column, every: int, ahead: int) -> DataFrame:
     """1 when the customer buys nothing in the ``ahead`` days from the snapshot on."""
     days = sales.select("customer_id", "event_date").distinct()

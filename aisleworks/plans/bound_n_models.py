@@ -42,12 +42,13 @@ def churn_labels(t):
 
 @query("churn_scores")
 def churn_scores(t):
-    """Fit on early snapshots, calibrate later, score the newest; labels must be over."""
+    """Fit on early snapshots, calibrate later, score every customer at the newest; labels must be over."""
     names = ["purchases", "spend_cents", "active_days", "recency_days", "categories", "avg_basket_cents", "basket_stddev", "basket_cv"]
     first, last = snapshot_span(t.receipts)
-    x = features.churn_features(spending(t), first=first, last=last, every=90, behind=180)
+    customers = t.table("customer").select(F.col("c_custkey").alias("customer_id"))
+    x = features.churn_rows(customers, spending(t), first=first, last=last, every=90, behind=180)
     y = features.churn_labels(spending(t), first=first, last=last, every=90, ahead=90)
-    rows = x.join(y, ["customer_id", "snapshot_date"]).withColumn("known", F.date_add("snapshot_date", 90)).persist()
+    rows = x.join(y, ["customer_id", "snapshot_date"], "left").fillna(1, ["churned"]).withColumn("known", F.date_add("snapshot_date", 90)).persist()
     closed = rows.where(F.col("known") <= last)
     a, b = evaluation.split_cutoffs(closed, "known", train=0.6, calibration=0.2)
     split = evaluation.assign_chronological_split(closed, "known", train_until=a, calibration_until=b, embargo_days=90)

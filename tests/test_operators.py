@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from aisleworks.ml import features
 from aisleworks.operators import attribution, evaluation, pricing, quality, ranges
 from aisleworks.operators.ordered import find_hot_keys, ordered
 from aisleworks.sources import envelope, files, publish
@@ -155,3 +156,23 @@ def test_chronological_split_has_an_embargo(spark):
     a, b = evaluation.split_cutoffs(df, "d", train=0.6, calibration=0.2)
     out = evaluation.assign_chronological_split(df, "d", train_until=a, calibration_until=b, embargo_days=5)
     assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 60, "embargo": 10, "calibration": 15, "test": 15}
+
+
+def test_churn_rows_hold_lapsed_customers(spark):
+    day = dt.date(2024, 1, 1)
+    sales = spark.createDataFrame(
+        [(1, day, 500, "a"), (2, day, 100, "a"), (2, day + dt.timedelta(260), 300, "b"), (4, day + dt.timedelta(360), 50, "a")],
+        "customer_id long, event_date date, cents long, category string",
+    )
+    customers = spark.createDataFrame([(1,), (2,), (3,)], "customer_id long")
+    first, last = F.lit(day + dt.timedelta(180)), F.lit(day + dt.timedelta(360))
+    got = {
+        (r.customer_id, (r.snapshot_date - day).days): (r.purchases, r.spend_cents, r.recency_days, r.avg_basket_cents)
+        for r in features.churn_rows(customers, sales, first=first, last=last, every=90, behind=180).collect()
+    }
+    assert got == {
+        (1, 180): (1, 500, 180, 500.0), (1, 270): (0, 0, 270, 0.0), (1, 360): (0, 0, 360, 0.0),
+        (2, 180): (1, 100, 180, 100.0), (2, 270): (1, 300, 10, 300.0), (2, 360): (1, 300, 100, 300.0),
+        (3, 180): (0, 0, 181, 0.0), (3, 270): (0, 0, 271, 0.0), (3, 360): (0, 0, 361, 0.0),
+        (4, 180): (0, 0, 181, 0.0), (4, 270): (0, 0, 271, 0.0), (4, 360): (0, 0, 361, 0.0),
+    }
