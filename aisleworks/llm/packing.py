@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from aisleworks.llm.common import encoded, is_space, map_arrow, materialised, range_hashes, slices, text_of
+from aisleworks.llm.common import encoded, is_space, map_arrow, materialised, slices, text_of
 
 WINDOW = 2048
 FRACTION = 1 << 12
@@ -48,25 +47,31 @@ def _unusual(text: bytes) -> bool:
     return any(lead in text for lead in _LEADS) and _UNUSUAL.search(text) is not None
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts, as the tokenizer file gives them.
 
     A byte-level BPE never merges across the pre-tokens of its pattern, and a run of other
     characters with the one space before it always begins and ends on such edges. Texts are
-    cut there, equal pieces are encoded once per slice and remembered. The pieces are encoded
-    with the same vocabulary in rank form, which gives the same ids several times faster;
-    unusual texts go through the tokenizer file as a whole.
+    cut there; the mapping from pieces, byte for byte, to their ids is remembered up to
+    ``MEMORY`` pieces. The pieces are encoded with the same vocabulary in rank form, which gives
+    the same ids several times faster; unusual texts go through the tokenizer file as a whole.
     """
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(vocabulary)
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pieces = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.known: dict[int, bytes] = {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = np.array(self.pieces.encode_ordinary(piece.decode("utf-8", "replace")), dtype="<u4").tobytes()
+        if len(piece) <= LONG_PIECE and len(self) < MEMORY:
+            self[piece] = ids
+        return ids
 
     def _cuts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         space = is_space(data)
@@ -87,34 +92,14 @@ class Encoder:
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
         plain = [b"" if _unusual(t) else t for t in texts]
-        data = np.frombuffer(b"".join(plain), dtype=np.uint8)
+        raw = b"".join(plain)
         edges = np.concatenate(([0], np.cumsum([len(t) for t in plain]))).astype(np.int64)
-        if len(data):
-            starts = self._cuts(data, edges)
-            ends = np.append(starts[1:], len(data))
-            codes, distinct = pd.factorize(range_hashes(data, starts, ends))
-            where = np.empty(len(distinct), dtype=np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            raw, known, room = data.tobytes(), self.known, MEMORY - len(self.known)
-            found: list[bytes] = []
-            for key, at in zip(distinct.tolist(), where.tolist()):
-                ids = known.get(key)
-                if ids is None:
-                    piece = raw[starts[at] : ends[at]]
-                    ids = np.array(self.pieces.encode_ordinary(piece.decode("utf-8", "replace")), dtype="<u4").tobytes()
-                    if room > 0 and len(piece) <= LONG_PIECE:
-                        known[key], room = ids, room - 1
-                found.append(ids)
-            sizes = np.fromiter((len(x) >> 2 for x in found), dtype=np.int64, count=len(found))
-            begin = np.concatenate(([0], np.cumsum(sizes)))
-            flat = np.frombuffer(b"".join(found), dtype="<u4")
-            each = sizes[codes]
-            total = np.concatenate(([0], np.cumsum(each)))
-            spread = np.arange(total[-1]) + np.repeat(begin[codes] - total[:-1], each)
-            ids, bounds = flat[spread], total[np.searchsorted(starts, edges)]
-        else:
-            ids, bounds = np.empty(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
-        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        starts = self._cuts(np.frombuffer(raw, dtype=np.uint8), edges) if raw else np.empty(0, dtype=np.int64)
+        cuts = starts.tolist()
+        found = [self[raw[a:b]] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2)))
+        ids, bounds = np.frombuffer(b"".join(found), dtype="<u4"), total[np.searchsorted(starts, edges)].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
         for i, (text, kept) in enumerate(zip(texts, plain)):
             if len(text) != len(kept):
                 got = self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids

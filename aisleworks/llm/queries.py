@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import cotraining, itq, language, mixing, packing, paragraphs, rules, simhash, templates, token_counts
+from aisleworks.llm import cotraining, itq, language, mixing, packing, paragraphs, periods, rules, simhash, spelling, templates, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,22 @@ def op10_html_extraction(spark, sf_dir):
 @bound("op7_embedding_near_dedup")
 def op7_embedding_near_dedup(spark, sf_dir):
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@bound("op11_token_files")
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    files = token_files.write(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_files.read_documents(spark, files, docs.schema["doc_id"].dataType)
+
+
+@bound("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periods.periodic_runs(periods.with_cycles(table(spark, sf_dir, "documents")))
+
+
+@bound("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), slips=31)
