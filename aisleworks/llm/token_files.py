@@ -4,11 +4,11 @@ The documents are sorted by id over all tasks; every task encodes its range and
 of two Arrow IPC files (the stream format with a footer):
 
 ``<name>.sequences.arrow``
-    ``ids`` and ``mask`` are fixed-size lists of ``length`` numbers, never null, not compressed,
+    ``ids`` and ``mask`` are fixed-size lists of ``length`` values, never null, not compressed,
     ``ROWS`` sequences a batch. Every batch but the last has the same size, so sequence ``i`` is
     row ``i % ROWS`` of batch ``i // ROWS``, and its ids are one slice of the mapped file. Ids
-    take two bytes where the vocabulary allows it, else four. The mask is 1 for a token, 2 for
-    the end token of a document and 0 for the padding behind the last document of the shard.
+    take two bytes where the vocabulary allows it, else four. The mask takes one bit: set for a
+    token, not set for the padding behind the last document of the shard.
 ``<name>.documents.arrow``
     One row per document in the shard's order: id, start (tokens of the shard before it), n_tokens.
 
@@ -39,7 +39,6 @@ from aisleworks.session import scratch_path
 
 LENGTH = 2048
 ROWS = 64
-TOKEN, END, PADDING = 1, 2, 0
 SHARDS = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("name", T.StringType()), T.StructField("n_documents", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("n_sequences", T.LongType()), T.StructField("bytes", T.LongType()),
@@ -84,24 +83,25 @@ class Sequences:
     def __len__(self) -> int:
         return self.count
 
-    def _column(self, batch: int, name: str) -> np.ndarray:
+    def _column(self, batch: int, name: str) -> pa.Array:
         if batch != self._at:
             self._at, self._batch = batch, self.reader.get_batch(batch)
-        return self._batch.column(self._batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=True)
+        return self._batch.column(self._batch.schema.get_field_index(name)).flatten()
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``: views into the file."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        row = i % self.rows * self.length
-        return tuple(self._column(i // self.rows, name)[row : row + self.length] for name in ("ids", "mask"))
+        batch, row = i // self.rows, i % self.rows * self.length
+        ids, mask = (self._column(batch, name).slice(row, self.length) for name in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
-    def tokens(self, start: int, n: int, name: str = "ids") -> np.ndarray:
-        """``n`` ids (or mask values) from token ``start`` of the shard; one batch at a time is touched."""
+    def tokens(self, start: int, n: int) -> np.ndarray:
+        """``n`` ids from token ``start`` of the shard; one batch at a time is touched."""
         width, parts, stop = self.rows * self.length, [], start + n
         while start < stop:
             batch, row = divmod(start, width)
-            part = self._column(batch, name)[row : row + stop - start]
+            part = self._column(batch, "ids").slice(row, stop - start).to_numpy(zero_copy_only=True)
             if not len(part):
                 raise IndexError(stop)
             parts.append(part)
@@ -116,18 +116,21 @@ class _Shard:
         store, inner = file_system(folder)
         store.create_dir(inner, recursive=True)
         self.width, self.length = width, length
-        values = [pa.field("item", t, nullable=False) for t in (pa.uint16() if width == "<u2" else pa.uint32(), pa.uint8())]
+        values = [pa.field("item", t, nullable=False) for t in (pa.uint16() if width == "<u2" else pa.uint32(), pa.bool_())]
         self.schema = pa.schema([pa.field(c, pa.list_(v, length), nullable=False) for c, v in zip(("ids", "mask"), values)])
         self.index = pa.schema([("id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [store.open_output_stream(f"{inner}/{name}.{kind}.arrow") for kind in ("sequences", "documents")]
         self.writers = [pa.ipc.new_file(sink, schema) for sink, schema in zip(self.sinks, (self.schema, self.index))]
-        self.ids, self.mask = (np.zeros(ROWS * length, dtype=d) for d in (width, "u1"))
+        self.ids = np.zeros(ROWS * length, dtype=width)
         self.filled = self.n_documents = self.n_tokens = self.n_sequences = 0
 
-    def _batch(self, rows: int) -> None:
+    def _batch(self) -> None:
+        rows = -(-self.filled // self.length)
+        size = rows * self.length
+        self.ids[self.filled : size] = 0
         columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(x[: rows * self.length].copy()), type=self.schema.field(c).type)
-            for c, x in (("ids", self.ids), ("mask", self.mask))
+            pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(c).type)
+            for c, x in (("ids", self.ids[:size].copy()), ("mask", np.arange(size) < self.filled))
         ]
         self.writers[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.n_sequences += rows
@@ -138,27 +141,21 @@ class _Shard:
         starts = self.n_tokens + np.cumsum(n) - n
         end = np.array([end_id], dtype=self.width)
         ids = np.concatenate([part for t in texts for part in (t.astype(self.width), end)])
-        mask = np.full(len(ids), TOKEN, dtype="u1")
-        mask[np.cumsum(n) - 1] = END
         at = 0
         while at < len(ids):
             room = min(len(self.ids) - self.filled, len(ids) - at)
-            for own, new in ((self.ids, ids), (self.mask, mask)):
-                own[self.filled : self.filled + room] = new[at : at + room]
+            self.ids[self.filled : self.filled + room] = ids[at : at + room]
             self.filled += room
             at += room
             if self.filled == len(self.ids):
-                self._batch(ROWS)
+                self._batch()
         self.writers[1].write_batch(pa.RecordBatch.from_arrays([names, pa.array(starts), pa.array(n)], schema=self.index))
         self.n_documents += len(texts)
         self.n_tokens += len(ids)
 
     def close(self) -> int:
         if self.filled:
-            rows = -(-self.filled // self.length)
-            for x in (self.ids, self.mask):
-                x[self.filled : rows * self.length] = PADDING
-            self._batch(rows)
+            self._batch()
         for writer in self.writers:
             writer.close()
         size = sum(sink.tell() for sink in self.sinks)
