@@ -2,13 +2,16 @@
 
 A plain window sends all rows of a key to one task. ``find_hot_keys`` therefore counts rows
 per key first (map-side combined, a narrow scan). While no key has more than
-``spark.aisleworks.hotKeyRows`` rows the plain window is used. Otherwise the hot keys are
-cut into slices of the leading order column, the window runs per (key, slice), and one
-summary row per hot slice carries totals and edge rows over to the next slice.
-
-Broadcast bounds: the threshold in force is ``L = max(hotKeyRows, N / MAX_HOT_KEYS)`` for
-``N`` input rows, so at most ``MAX_HOT_KEYS`` keys are hot and they have at most
-``(SLACK + 2) * MAX_HOT_KEYS`` slices, however large or skewed the data is.
+``spark.aisleworks.hotKeyRows`` rows the plain window is used. Otherwise only the rows of the
+hot keys are range-partitioned on (keys, the whole order tuple): Spark's sampled range bounds are
+the quantiles, so a key splits wherever its rows are, also among rows that tie on the leading
+column. Sorted partitions are cut into slices of at most the limit and written once; the window
+runs per (key, slice), and one summary row per slice carries totals and edge rows over to the
+next slice. Other keys keep the plain window.
+
+Broadcast bounds: the limit in force is ``L = max(hotKeyRows, N / MAX_HOT_KEYS)`` for ``N`` input
+rows, so at most ``MAX_HOT_KEYS`` keys are hot, and they have at most ``2 * MAX_HOT_KEYS`` slices
+and one more per sorted partition, however large or skewed the data is.
 """
 
 from __future__ import annotations
@@ -17,68 +20,65 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleworks.session import checkpointed, hot_key_rows
+from aisleworks.session import hot_key_rows, written
 
 SLICE, HOT = "_slice", "_hot"
 MAX_HOT_KEYS = 50_000
-SLACK = 4  # slices per needed slice, so that uneven order values still give small tasks
+ROWS_PER_TASK = 500_000  # rows of hot keys that one task sorts, where the limit is smaller
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Result of the row count per key; ``spans`` is None when no key is hot."""
+    """Result of the row count per key; ``spans`` (the hot keys) is None when no key is hot."""
 
     keys: tuple[str, ...]
-    at: str
     spans: DataFrame | None
+    limit: int = 0
+    rows: int = 0
 
+    def of(self, df: DataFrame, *, hot: bool) -> DataFrame:
+        """The rows of the hot keys, or all others."""
+        match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(self.spans[f"_k{i}"]) for i, k in enumerate(self.keys)])
+        return df.join(F.broadcast(self.spans), match, "left_semi" if hot else "left_anti")
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The leading order column as a bigint that keeps its order (equal values stay equal)."""
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("bigint")
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
-        return column.cast("bigint")
-    raise TypeError(f"cannot slice on {name}: {kind.simpleString()}")
-
-
-def find_hot_keys(df: DataFrame, keys: Sequence[str], at: str) -> HotKeys:
-    """Count rows per key now. Valid for every later subset of ``df`` on the same keys."""
-    number = as_number(df, at)
-    per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")
-    )
-    total = per_key.agg(F.sum("_n")).scalar()
-    limit = F.greatest(F.lit(hot_key_rows(df.sparkSession)), F.ceil(total / F.lit(MAX_HOT_KEYS)))
-    spans = per_key.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit")).select(
-        *[f"_k{i}" for i in range(len(keys))],
-        F.coalesce("_lo", F.lit(0)).alias("_lo"),
-        F.greatest(
-            F.lit(1),
-            F.ceil((F.col("_hi") - F.col("_lo") + 1) / (F.ceil(F.col("_n") / F.col("_limit")) * SLACK)),
-        ).cast("bigint").alias("_width"),
-    )
-    return HotKeys(tuple(keys), at, None if spans.isEmpty() else spans)
-
-
-def slice_hot_keys(df: DataFrame, hot: HotKeys) -> DataFrame:
-    """Add ``_slice`` (-1 for ordinary keys) and ``_hot``."""
-    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot.spans[f"_k{i}"]) for i, k in enumerate(hot.keys)])
-    joined = df.join(F.broadcast(hot.spans), match, "left")
-    number = as_number(df, hot.at)
-    return joined.select(
-        *[df[c] for c in df.columns],
-        F.coalesce(F.floor((number - F.col("_lo")) / F.col("_width")), F.lit(-1)).cast("bigint").alias(SLICE),
-        F.col("_lo").isNotNull().alias(HOT),
-    )
+
+def find_hot_keys(df: DataFrame, keys: Sequence[str], at: str | None = None) -> HotKeys:
+    """Count rows per key now. Valid for every later subset of ``df`` on the same keys.
+
+    Runs one job over the key columns; what it keeps is written once. ``at`` names the leading
+    order column for the reader only: slices come from the whole order tuple.
+    """
+    least, seen = hot_key_rows(df.sparkSession), Observation()
+    per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    large = written(per_key.observe(seen, F.sum("_n").alias("rows")).where(F.col("_n") > least), "hot-keys")
+    limit = max(least, -(-(seen.get["rows"] or 0) // MAX_HOT_KEYS))
+    spans = large.where(F.col("_n") > limit)
+    rows = spans.agg(F.sum("_n")).first()[0]
+    return HotKeys(tuple(keys), spans.drop("_n") if rows else None, limit, rows or 0)
+
+
+def in_slices(df: DataFrame, order: Sequence[str], limit: int, tasks: int | None = None, name: str = SLICE) -> DataFrame:
+    """``df`` sorted on ``order`` over all tasks and written, with slice numbers that rise with it.
+
+    A slice has at most ``limit`` rows. Rows that tie on the whole tuple are parted by a hash of
+    the row.
+    """
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    by = [*order, F.xxhash64(*hashed)]
+    ranged = df.repartitionByRange(tasks, *by) if tasks else df.repartitionByRange(*by)
+    placed = ranged.sortWithinPartitions(*by).withColumn(name, F.floor(F.monotonically_increasing_id() / F.lit(limit)).cast("bigint"))
+    return written(placed, "slices")
+
+
+def slice_hot_keys(df: DataFrame, hot: HotKeys, order: Sequence[str]) -> DataFrame:
+    """The rows of the hot keys with ``_slice``; see ``in_slices``."""
+    tasks = -(-hot.rows // max(hot.limit, ROWS_PER_TASK))
+    tasks = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return in_slices(hot.of(df, hot=True), [*hot.keys, *order], hot.limit, tasks)
 
 
 def ordered(
@@ -100,9 +100,8 @@ def ordered(
     ``following`` the expression's value on the row after (NULL on the last)
     ``latest``    the last non-NULL value up to and with the current row
 
-    ``order`` must be a total order within a key for repeatable results; its first
-    column decides the slices, so rows that tie on it stay in one slice. Several steps on
-    one set of keys share one ``hot`` and pass the slices on with ``keep_slices``.
+    ``order`` must be a total order within a key for repeatable results. Several steps on
+    one set of keys and one order share one ``hot`` and pass the slices on with ``keep_slices``.
     """
     running, previous = running or {}, previous or {}
     following, latest = following or {}, latest or {}
@@ -125,8 +124,12 @@ def _plain(df, keys, order, running, previous, following, latest) -> DataFrame:
 
 def _sliced(df, keys, order, running, previous, following, latest, hot, keep_slices) -> DataFrame:
     names = [c for c in df.columns if c not in (SLICE, HOT)]
-    # A chained step would compute its input twice (rows and slice edges): fix it first.
-    sliced = checkpointed(df) if SLICE in df.columns else slice_hot_keys(df, hot)
+    if SLICE in df.columns:  # a chained step: fix its input, which is read three times here
+        df = written(df, "ordered")
+        cold, sliced = df.where(~F.col(HOT)), df.where(F.col(HOT)).drop(HOT)
+    else:
+        cold, sliced = hot.of(df, hot=False), slice_hot_keys(df, hot, order)
+    cold = _plain(cold.select(*names), keys, order, running, previous, following, latest)
     w = Window.partitionBy(*keys, SLICE).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -145,7 +148,7 @@ def _sliced(df, keys, order, running, previous, following, latest, hot, keep_sli
         sums.append(F.max_by(_pack(previous), place).alias("_cbefore"))
     if following:
         sums.append(F.min_by(_pack(following), place).alias("_cafter"))
-    edge = sliced.where(F.col(HOT)).groupBy(*keys, SLICE).agg(*sums)
+    edge = sliced.groupBy(*keys, SLICE).agg(*sums)
     across = Window.partitionBy(*keys).orderBy(SLICE)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(f"_cr_{n}").over(earlier).alias(f"_cr_{n}") for n in running]
@@ -158,7 +161,7 @@ def _sliced(df, keys, order, running, previous, following, latest, hot, keep_sli
         *[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_es"), *carried
     )
 
-    match = (body[SLICE] == edge["_es"]) & body[HOT]
+    match = body[SLICE] == edge["_es"]
     for i, k in enumerate(keys):
         match = match & body[k].eqNullSafe(edge[f"_e{i}"])
     joined = body.join(F.broadcast(edge), match, "left")
@@ -172,8 +175,11 @@ def _sliced(df, keys, order, running, previous, following, latest, hot, keep_sli
         added[n] = F.coalesce("_before", "_cbefore")[n]
     for n in following:
         added[n] = F.coalesce("_after", "_cafter")[n]
-    kept = [c for c in names if c not in added] + ([SLICE, HOT] if keep_slices else [])
-    return joined.select(*kept, *[c.alias(n) for n, c in added.items()])
+    kept = [F.col(c) for c in names if c not in added]
+    done = joined.select(*kept, *[c.alias(n) for n, c in added.items()], *([SLICE, F.lit(True).alias(HOT)] if keep_slices else []))
+    if keep_slices:
+        cold = cold.select("*", F.lit(-1).cast("bigint").alias(SLICE), F.lit(False).alias(HOT))
+    return cold.unionByName(done)
 
 
 def _pack(columns: dict[str, Column]) -> Column:

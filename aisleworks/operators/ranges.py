@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleworks.operators.ordered import find_hot_keys, ordered
-from aisleworks.session import checkpointed
+from aisleworks.operators.ordered import SLICE, find_hot_keys, in_slices, ordered
+from aisleworks.session import checkpointed, hot_key_rows
 
 DAY_SECONDS = 86_400
 
@@ -105,24 +105,40 @@ def prior_history(
     """Per target the count and sum of ``value`` over history strictly before it.
 
     ``groups`` maps an output prefix to the columns both sides must share (none for the
-    global history). Each group costs one ordered pass over the union of both sides.
+    global history; NULL group values pair with each other). The union of both sides is sorted
+    by time once and cut into slices of at most ``spark.aisleworks.hotKeyRows`` rows, whatever
+    the keys and however many rows fall on one instant. History is pre-summed per (slice, group)
+    and summed up over the slices before; those sums stand as first rows in their slice, where
+    one window per grain resolves the rest exactly. All grains share the sorted table and one
+    exchange by slice. History without a time counts for nobody, targets without one have none.
     """
     shared = sorted({c for cols in groups.values() for c in cols})
     both = targets.select(
         F.col(target_at).alias("_t"), F.lit(0).alias("_kind"), *shared, F.struct(*targets.columns).alias("_row")
     ).unionByName(
-        history.select(F.col(history_at).alias("_t"), F.lit(1).alias("_kind"), *shared, F.col(value).alias("_v")),
+        history.where(F.col(history_at).isNotNull()).select(F.col(history_at).alias("_t"), F.lit(1).alias("_kind"), *shared, F.col(value).alias("_v")),
         allowMissingColumns=True,
-    ).withColumn("_all", F.lit(0))
+    )
+    rows = in_slices(both, ["_t", "_kind"], hot_key_rows(targets.sparkSession))
+    body = rows
     for prefix, cols in groups.items():
-        both = ordered(
-            both, list(cols) or ["_all"], ["_t", "_kind"],
-            running={
-                f"{prefix}_count": F.when(F.col("_v").isNotNull(), F.lit(1).cast("bigint")).otherwise(0),
-                f"{prefix}_sum": F.coalesce(F.col("_v"), F.lit(0).cast("bigint")),
-            },
+        sums = rows.groupBy(SLICE, *cols).agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"))
+        before = Window.partitionBy(*cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        body = body.unionByName(
+            sums.select(SLICE, F.lit(-1).alias("_kind"), *cols, F.sum("_n").over(before).alias(f"_n_{prefix}"), F.sum("_s").over(before).alias(f"_s_{prefix}")),
+            allowMissingColumns=True,
         )
-    return both.where("_kind = 0").select("_row.*", *[f"{p}_{s}" for p in groups for s in ("count", "sum")])
+    body = body.repartition(SLICE)
+    zero = F.lit(0).cast("bigint")
+    added = []
+    for prefix, cols in groups.items():
+        w = Window.partitionBy(SLICE, *cols).orderBy(F.col("_kind") >= 0, "_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.when(F.col("_v").isNotNull(), F.lit(1).cast("bigint"))
+        added += [
+            F.sum(F.coalesce(f"_n_{prefix}", own, zero)).over(w).alias(f"{prefix}_count"),
+            F.sum(F.coalesce(f"_s_{prefix}", "_v", zero)).over(w).alias(f"{prefix}_sum"),
+        ]
+    return body.select("_kind", "_row", *added).where("_kind = 0").select("_row.*", *[f"{p}_{s}" for p in groups for s in ("count", "sum")])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], *, partitions: int | None = None, out: str = "rank") -> DataFrame:

@@ -73,3 +73,10 @@ def checkpointed(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df, purpose: str):
+    """``df`` as a written table in the shared folder: lineage ends there, and it is computed once."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
