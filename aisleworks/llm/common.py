@@ -199,3 +199,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in have:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from aisleworks.llm.common import materialised, text_of
+from aisleworks.llm.common import materialised, text_of, unused
 
 #: Words are runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,13 +115,14 @@ def mix(
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
-    copies = (
+    identity, source, key, copies, copy = unused(docs, "id", "source", "hash", "copies", "copy")
+    taken = (
         mix(docs, id_column=id_column, **settings).where("copies > 0")
-        .select(F.col(id_column).alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies"))
+        .select(F.col(id_column).alias(identity), F.col("source").alias(source), F.col("text_hash").alias(key), F.col("copies").alias(copies))
         .distinct()
     )
     same = (
-        F.col(id_column).eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(text_of()) == F.col("_hash"))
+        F.col(id_column).eqNullSafe(F.col(identity)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+        & (F.xxhash64(text_of()) == F.col(key))
     )
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return docs.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -1,5 +1,8 @@
 """Substring deduplication: MinHash banding of paragraphs, exact Jaccard, components.
 
+Repetitions that do not fill such paragraphs are found as passages (``passages.py``), in content-
+defined units over line ends; ``without_repeats`` cuts both.
+
 A paragraph is a line with at least ``min_words`` words (ASCII lower case, white space
 normalised). Equal paragraphs are one class, found by a 128-bit hash. Each class gets a MinHash
 signature of its word shingles, cut into ``BANDS`` bands of ``ROWS`` values: at a Jaccard
@@ -12,16 +15,18 @@ each cluster keeps its first paragraph.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleworks.llm.common import bounded_groups, components, encoded, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, word_ranges
+from aisleworks.llm import passages
+from aisleworks.llm.common import bounded_groups, components, encoded, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
 
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
@@ -30,6 +35,8 @@ BLOCK = 256
 #: A class with more than one in ``HOT`` of all rows is joined apart; there are fewer than ``HOT``.
 HOT = 1000
 
+_BLANK = " \t\r\x0b\x0c"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -180,8 +187,10 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
     # Bands carry 64-bit names of classes; a collision of names only adds a candidate. The joins
     # are merged at every size: what they join with grows with the corpus.
     banded = classes.select(F.xxhash64("h").alias("member"), F.explode("bands").alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = materialised(banded.join(several.hint("merge"), "bucket"), "bucket-members")
+    # One exchange: a row of a bucket has a neighbour before or after it in the bucket.
+    beside = Window.partitionBy("bucket").orderBy("member")
+    both = banded.withColumn("before", F.lag("member").over(beside)).withColumn("after", F.lead("member").over(beside))
+    met = materialised(both.where("before IS NOT NULL OR after IS NOT NULL").select("member", "bucket"), "bucket-members")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("member").alias("x"), F.sum(F.shiftright("member", 24)).alias("s"))
     alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     met = met.join(alone, "bucket")
@@ -209,19 +218,67 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
     )
 
 
+def cut_text(text: str, lines: set[int], spans: list[tuple[int, int]]) -> str:
+    """``text`` without the lines and without the words of the spans (first word, words).
+
+    A line that loses all its words to spans goes too; other white space stays.
+    """
+    kept, at, gone = [], 0, np.zeros(0, dtype=bool)
+    if spans:
+        gone = np.zeros(max(s + n for s, n in spans) + 1, dtype=bool)
+        for s, n in spans:
+            gone[s : s + n] = True
+    for number, line in enumerate(text.split("\n")):
+        found = list(_WORD.finditer(line)) if spans else []
+        own = gone[at : at + len(found)]
+        at += len(found)
+        if number in lines or (len(own) and len(own) == len(found) and own.all()):
+            continue
+        if own.any():
+            parts, begin = [], 0
+            for word, out in zip(found, own.tolist()):
+                if out:
+                    parts.append(line[begin : word.start()])
+                    begin = word.end()
+                    while begin < len(line) and line[begin] in _BLANK:
+                        begin += 1
+            line = "".join([*parts, line[begin:]])
+        kept.append(line)
+    return "\n".join(kept)
+
+
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
-    """The documents without the paragraphs that repeat a kept one; all columns, all rows.
+    """The documents without what repeats a kept place: paragraphs, and passages within lines.
 
-    Texts without such paragraphs, null ones among them, stay as they are. ``n_chars``, where
-    it is a column, follows the text. A document whose every line goes has an empty text.
+    All rows and columns come back. Texts without repetitions, null ones among them, stay as they
+    are. ``n_chars``, where it is a column, follows the text. A document that loses everything
+    has an empty text.
     """
-    cut = (
-        repeated(docs, id_column, **settings).where("NOT kept").groupBy(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.collect_set("paragraph").alias("_cut"))
+    lines = repeated(docs, id_column, **settings).where("NOT kept").select(id_column, "text_hash", F.col("paragraph").alias("line"))
+    spans = passages.passages(docs, id_column).where("NOT kept").select(id_column, "text_hash", F.struct("start", "n_words").alias("span"))
+    identity, key, cut_lines, cut_spans = unused(docs, "id", "hash", "lines", "spans")
+    cut = lines.unionByName(spans, allowMissingColumns=True).groupBy(F.col(id_column).alias(identity), F.col("text_hash").alias(key)).agg(
+        F.collect_set("line").alias(cut_lines), F.collect_list("span").alias(cut_spans)
     )
-    lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_cut", i))
-    joined = docs.join(cut, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_hash")), "left")
-    new = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return new.select(*docs.columns)
+    joined = docs.join(cut, F.col(id_column).eqNullSafe(F.col(identity)) & (F.xxhash64(text_of()) == F.col(key)), "left").drop(identity, key)
+    names = docs.columns
+    counted = "n_chars" in names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            hit = np.flatnonzero(pc.is_valid(columns[cut_lines]).to_numpy(zero_copy_only=False))
+            if len(hit):
+                texts = columns["text"].to_pylist()
+                for i in hit.tolist():
+                    spans_ = [(s["start"], s["n_words"]) for s in columns[cut_spans][i].as_py()]
+                    texts[i] = cut_text(texts[i] or "", set(columns[cut_lines][i].as_py()), spans_)
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if counted:
+                    new = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
+                    mask = np.zeros(batch.num_rows, dtype=bool)
+                    mask[hit] = True
+                    columns["n_chars"] = pc.if_else(pa.array(mask), new, columns["n_chars"])
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return map_arrow(joined, run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleworks.llm import cotraining, itq, language, mixing, packing, paragraphs, periods, rules, simhash, spelling, templates, token_counts, token_files
+from aisleworks.llm import cotraining, itq, language, mixing, packing, paragraphs, passages, periods, rules, simhash, spelling, templates, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,7 +46,10 @@ def op1_packing(spark, sf_dir):
 
 @bound("op2_substring_dedup")
 def op2_substring_dedup(spark, sf_dir):
-    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("text_hash")
+    docs = table(spark, sf_dir, "documents")
+    lines = paragraphs.repeated(docs).withColumn("kind", F.lit("paragraph")).drop("text_hash")
+    spans = passages.passages(docs).withColumn("kind", F.lit("passage")).drop("text_hash")
+    return lines.unionByName(spans, allowMissingColumns=True)
 
 
 @bound("op3_quality_classifier")

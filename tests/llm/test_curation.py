@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from aisleworks.llm import cotraining, paragraphs, simhash
+from aisleworks.llm import cotraining, paragraphs, passages
 from aisleworks.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -84,8 +84,88 @@ def test_paragraphs_as_brute_force(spark, monkeypatch, block):
 
 def test_paragraphs_on_documents_as_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    got = {(r.doc_id, r.paragraph): (r.keeper_id, r.keeper_paragraph) for r in QUERIES["op2_substring_dedup"](spark, SF).collect()}
+    found = QUERIES["op2_substring_dedup"](spark, SF).collect()
+    got = {(r.doc_id, r.paragraph): (r.keeper_id, r.keeper_paragraph) for r in found if r.kind == "paragraph"}
     assert got == brute_force(rows)
+    check_passages(rows, [r for r in found if r.kind == "passage"])
+
+
+def check_passages(rows, got):
+    """Every run of 57 words that two documents share is hit; every word of a span is in a run of 9 that another document holds."""
+    bags = {i: tokens(t or "") for i, t in rows}
+    grams = {k: {} for k in (9, 57)}
+    for i, w in bags.items():
+        for k, seen in grams.items():
+            for at in range(len(w) - k + 1):
+                seen.setdefault(tuple(w[at : at + k]), set()).add(i)
+    covered = {i: set() for i in bags}
+    for r in got:
+        covered[r.doc_id].update(range(r.start, r.start + r.n_words))
+        assert r.n_words >= passages.LEAST and r.start + r.n_words <= len(bags[r.doc_id])
+    for i, w in bags.items():
+        shared = {p for at in range(len(w) - 8) if grams[9][tuple(w[at : at + 9])] != {i} for p in range(at, at + 9)}
+        assert covered[i] <= shared
+        runs = [at for at in range(len(w) - 56) if grams[57][tuple(w[at : at + 57])] != {i}]
+        missed = [at for at in runs if not covered[i] & set(range(at, at + 57))]
+        assert len(missed) <= 0.02 * len(runs)  # a hit needs spans of LEAST words; units alone hit all
+
+
+def planted(n_words, seed):
+    """40 pairs of documents that share one passage, in other lines and surroundings, and 20 clean ones."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(40):
+        passage = words(n_words, seed * 1000 + i)
+        for j in range(2):
+            text = [*words(int(rng.integers(0, 90)), seed + 7 * i + j + 100_000), *passage, *words(int(rng.integers(0, 90)), seed + 7 * i + j + 200_000)]
+            cuts = set(rng.integers(0, max(1, len(text)), 6).tolist())
+            rows.append((2 * i + j, "".join(w + ("\n" if k in cuts else " ") for k, w in enumerate(text))))
+    return rows + [(1000 + i, " ".join(words(150, seed + 300_000 + i))) for i in range(20)]
+
+
+@pytest.mark.parametrize("n_words", [51, 60, 90])
+def test_passages_within_lines(spark, n_words):
+    rows = planted(n_words, n_words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.passages(docs).collect()
+    check_passages(rows, got)
+    hit = {r.doc_id for r in got}
+    assert len(hit) >= 0.97 * 80 and not any(i >= 1000 for i in hit)
+    assert all(r.kept == (r.doc_id % 2 == 0) and r.keeper_id == r.doc_id // 2 * 2 for r in got)
+    after = {r.doc_id: r.text for r in paragraphs.without_repeats(docs).collect()}
+    text = dict(rows)
+    for r in got:
+        if r.kept:
+            assert after[r.doc_id] == text[r.doc_id]
+        else:
+            left = tokens(after[r.doc_id])
+            assert len(left) < len(tokens(text[r.doc_id])) and set(left) <= set(tokens(text[r.doc_id]))
+
+
+def test_spans_and_lines_are_cut():
+    text = "one two  three\nfour five\n\nsix\tseven eight"
+    assert paragraphs.cut_text(text, set(), [(1, 1)]) == "one three\nfour five\n\nsix\tseven eight"
+    assert paragraphs.cut_text(text, set(), [(2, 3)]) == "one two  \n\nsix\tseven eight"
+    assert paragraphs.cut_text(text, {0}, [(5, 2)]) == "four five\n\neight"
+    assert paragraphs.cut_text(text, {0, 1, 2, 3}, []) == ""
+    assert paragraphs.cut_text(text, set(), [(0, 8)]) == ""
+
+
+def test_passages_edges(spark):
+    docs = spark.createDataFrame(edge_rows(), COLUMNS).selectExpr("*", "1 AS h", "2 AS _id", "3 AS start", "4 AS kept", "5 AS _text")
+    got = passages.passages(docs).collect()
+    check_passages([(i, t) for i, t in {(r[0], r[1]) for r in edge_rows()} if i is not None], [r for r in got if r.doc_id is not None])
+    assert passages.passages(docs.limit(0)).count() == 0
+
+
+def test_names_of_columns_do_not_matter(spark):
+    plain = spark.createDataFrame(edge_rows(), COLUMNS)
+    clash = plain.selectExpr("*", "1 AS _id", "2 AS _hash", "3 AS _cut", "4 AS _lines", "5 AS _spans", "6 AS __id", "7 AS _first", "8 AS _source", "9 AS _copies")
+    for stage in (corpus_pipeline.one_of_each_group, corpus_pipeline.without_repeated_passages, corpus_pipeline.mixed_sources):
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns
+        key = lambda r: (str(r.doc_id), str(r.text))
+        assert sorted(map(key, out.collect())) == sorted(map(key, stage(spark, plain, SF).collect()))
 
 
 def test_repeats_are_cut_once(spark):
@@ -134,6 +214,11 @@ def test_empty_tables(spark):
     assert paragraphs.repeated(empty).count() == 0 and paragraphs.without_repeats(empty).count() == 0
 
 
+def numbered(text):
+    """Words with their number and line."""
+    return [(n, k, w) for n, (k, w) in enumerate((k, w) for k, line in enumerate(text.split("\n")) for w in line.split())]
+
+
 def linked_documents(rows):
     """Smallest ids of the groups of documents that a Jaccard similarity of 0.8 links, over all pairs."""
     sets = [(i, shingle_set(tokens(text or ""))) for i, text in rows]
@@ -170,20 +255,18 @@ def test_pipeline_stages(spark):
         after = corpus_pipeline.materialised(stage(spark, before, SF), f"test-{name}")
         assert after.columns == docs.columns
         if name == "simhash_near_dedup":
-            rows = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
-            prints = {i: simhash.fingerprint((t or "").encode()) & (2**64 - 1) for i, t in rows.items()}
-            root = {i: i for i in prints}
-            for _ in range(len(root)):
-                new = {i: min(root[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
-                if new == root:
-                    break
-                root = new
-            assert {r.doc_id for r in after.collect()} == {i for i in root if root[i] == i}
+            rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            assert {r.doc_id for r in after.collect()} == linked_documents(rows)
         if name == "substring_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
             cut = {p for p, first in brute_force(rows).items() if p != first}
-            want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in cut) for i, t in rows}
-            assert {r.doc_id: r.text for r in after.collect()} == want
+            spans = {}
+            for r in passages.passages(before).where("NOT kept").collect():
+                spans.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+            want = {i: None if t is None else [w for k, _, w in numbered(t) if k not in spans.get(i, ()) and (i, _) not in cut] for i, t in rows}
+            assert {r.doc_id: None if r.text is None else r.text.split() for r in after.collect()} == want
+            untouched = {i for i, t in rows if i not in spans and not any((i, k) in cut for k in range((t or "").count("\n") + 1))}
+            assert {r.doc_id: r.text for r in after.collect() if r.doc_id in untouched} == {i: t for i, t in rows if i in untouched}
         before = after
     pieces = corpus_pipeline.packed(spark, before, SF).collect()
     assert sum(r.length for r in pieces) > 0 and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
