@@ -18,6 +18,26 @@ def events(t):
     )
 
 
+#: Files of ``shuffled_arrivals`` reach over the whole table, so rows are late by its length.
+DISORDER, PARTS = "400 days", 3
+
+
+def shuffled_arrivals(t, columns):
+    """Events in files of their own by a hash, one file a batch; the last one only ends the stream.
+
+    The files are written with the table's own partitions; nothing passes through one task.
+    """
+    folder = scratch_path(t.spark, "arrivals")
+    rows = t.keyed_events.select("event_id", "ts", *columns)
+    for part in range(PARTS):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(PARTS)) == part).write.mode("append").parquet(folder)
+    types = {f.name: f.dataType for f in rows.schema}
+    end = {"event_id": F.lit(-1), "ts": F.expr("TIMESTAMP '2200-01-01 00:00:00'"), "event_type": F.lit("end"), "k": F.lit(0)}
+    last = t.spark.range(1).select(*[end.get(c, F.lit(None)).cast(types[c]).alias(c) for c in rows.columns])
+    last.write.mode("append").parquet(folder)
+    return runs.stream_folder(t.spark, folder, files_per_batch=1)
+
+
 @query("source_file_stream", "SELECT event_id, ts, user_id, event_type FROM events")
 def source_file_stream(t):
     return runs.collect_append(events(t).select("event_id", "ts", "user_id", "event_type"), "file-stream")
@@ -97,10 +117,11 @@ def stream_stream_truck_join(t):
 @query("stream_attribution", """
 SELECT p.match_key, p.purchase_id, l.impression_id FROM v_purchases p LEFT JOIN v_last_touch l ON l.purchase_id = p.purchase_id""")
 def stream_attribution(t):
-    feed = events(t).select(F.col("user_id").alias("match_key"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), "event_type")
-    touches = feed.where(F.col("event_type").isin("view", "click")).drop("event_type")
-    purchases = feed.where("event_type = 'purchase'").drop("event_type")
-    return runs.collect_append(operators.last_touch(touches, purchases), "attribution")
+    """Touches and purchases arrive in several batches, in no order of time."""
+    feed = shuffled_arrivals(t, ["user_id", "event_type"]).select(F.col("user_id").alias("match_key"), "ts", F.col("event_id").alias("id"), "event_type")
+    touches = feed.where(F.col("event_type").isin("view", "click", "end"))
+    purchases = feed.where("event_type = 'purchase'")
+    return runs.collect_append(operators.last_touch(touches, purchases, delay=DISORDER), "attribution")
 
 
 @query("stream_alerts", """
@@ -143,7 +164,10 @@ SELECT store_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN -(k % 5) E
   CAST(20 + sum(CASE WHEN event_type = 'purchase' THEN -(k % 5) ELSE k % 3 END) OVER (PARTITION BY store_id ORDER BY ts, event_id) AS BIGINT) AS balance FROM v_raw JOIN events USING (event_id)""".replace(
     "event_type", "r_type").replace("FROM v_raw JOIN events USING (event_id)", "FROM (SELECT store_id, event_id, ingest_timestamp AS ts, event_type AS r_type, k FROM v_raw)"))
 def stream_running_balance(t):
-    moves = events(t).select(
-        "store_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", -(F.col("k") % 5)).otherwise(F.col("k") % 3).alias("quantity")
+    """Movements arrive in several batches, in no order of time."""
+    moves = shuffled_arrivals(t, ["user_id", "event_type", "k"]).select(
+        F.coalesce(F.col("user_id") % 10, F.lit(-1)).alias("store_id"), "ts", "event_id",
+        F.when(F.col("event_type") == "purchase", -(F.col("k") % 5)).otherwise(F.col("k") % 3).alias("quantity"),
     )
-    return runs.collect_append(operators.running_balance(moves, ["store_id"], order=["ts", "event_id"], opening=20), "balance")
+    balances = operators.running_balance(moves, ["store_id"], at="ts", tie="event_id", opening=20, delay=DISORDER)
+    return runs.collect_append(balances, "balance").where("store_id >= 0")

@@ -125,39 +125,85 @@ def match_last_touch(known: pd.DataFrame, batch: pd.DataFrame) -> tuple[pd.DataF
     return matched, kept
 
 
-def last_touch(touches: DataFrame, purchases: DataFrame) -> DataFrame:
-    """Streaming last touch within seven days, per purchase.
-
-    Both inputs have match_key, at (bigint microseconds) and id. The state of a customer is
-    the recent touches.
+def _wake_at(state: GroupState, micros: int | None) -> None:
+    """Ask for a call once the watermark is past ``micros``; nothing to wait for removes the state."""
+    if micros is None:
+        state.remove()
+    else:
+        state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def last_touch(touches: DataFrame, purchases: DataFrame, *, at: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Streaming last touch within seven days, per purchase; equal to the batch form.
+
+    Both inputs have match_key, ``at`` (timestamp) and id; they may arrive in any order within
+    ``delay``. A purchase waits in the state until the watermark has passed it: only then every
+    touch before it is known. A touch is forgotten once no purchase can need it any more, and a
+    customer with nothing left has no state. Rows later than the watermark are dropped by Spark
+    (``quarantine_writer`` keeps them). To end a stream, send one row under a key of its own with
+    a time beyond ``delay``.
     """
-    both = touches.withColumn("kind", F.lit("touch")).unionByName(purchases.withColumn("kind", F.lit("purchase")))
+    both = touches.select("match_key", at, "id", F.lit("touch").alias("kind")).unionByName(purchases.select("match_key", at, "id", F.lit("purchase").alias("kind")))
+    timed = both.withWatermark(at, delay).withColumn("_us", F.unix_micros(at))
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ats, ids = state.get if state.exists else ([], [])
-        matched, kept = match_last_touch(pd.DataFrame({"at": list(ats), "id": list(ids)}), pd.concat(list(chunks), ignore_index=True))
-        state.update((kept["at"].tolist(), kept["id"].tolist()))
+        seen, seen_id, waiting, waiting_id = map(list, state.get) if state.exists else ([], [], [], [])
+        if not state.hasTimedOut:
+            for chunk in chunks:
+                touch = chunk["kind"] == "touch"
+                seen += chunk.loc[touch, "_us"].tolist()
+                seen_id += chunk.loc[touch, "id"].tolist()
+                waiting += chunk.loc[~touch, "_us"].tolist()
+                waiting_id += chunk.loc[~touch, "id"].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        known = pd.DataFrame({"at": seen, "id": seen_id})
+        bought = pd.DataFrame({"at": waiting, "id": waiting_id, "kind": "purchase"})
+        ready = bought["at"] < mark
+        matched, _ = match_last_touch(known, bought[ready])
+        bought = bought[~ready]
+        # The oldest purchase that can still come, or that waits, looks back one window.
+        needed = min(mark, int(bought["at"].min())) if len(bought) else mark
+        known = known[known["at"] >= needed - TOUCH_WINDOW]
+        state.update(tuple(frame[c].astype("int64").tolist() for frame in (known, bought) for c in ("at", "id")))
+        ends = [int(bought["at"].min())] if len(bought) else [int(known["at"].min()) + TOUCH_WINDOW] if len(known) else []
+        _wake_at(state, ends[0] if ends else None)
         matched["match_key"] = key[0]
         yield matched[["match_key", "purchase_id", "impression_id"]]
 
-    return both.groupBy("match_key").applyInPandasWithState(
-        step, "match_key bigint, purchase_id bigint, impression_id bigint", "at array<bigint>, id array<bigint>", "append", GroupStateTimeout.NoTimeout
+    return timed.groupBy("match_key").applyInPandasWithState(
+        step, "match_key bigint, purchase_id bigint, impression_id bigint",
+        "at array<bigint>, id array<bigint>, waiting array<bigint>, waiting_id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def running_balance(stream: DataFrame, keys: Sequence[str], *, order: Sequence[str], opening: int) -> DataFrame:
-    """Balance after each movement; the state is one number per key."""
-    names = [*keys, *order, "quantity"]
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    output = ", ".join(f"{n} {fields[n]}" for n in names) + ", balance bigint"
+def running_balance(stream: DataFrame, keys: Sequence[str], *, at: str, tie: str, opening: int, delay: str = "1 day") -> DataFrame:
+    """Balance after each movement, in the order of (``at``, ``tie``), whatever the order of arrival.
 
-    def step(_key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = state.get[0] if state.exists else opening
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(list(order), kind="stable")
-        rows["balance"] = start + rows["quantity"].cumsum()
-        state.update((int(rows["balance"].iloc[-1]),))
-        yield rows[[*names, "balance"]]
+    The state of a key is the balance of all movements behind the watermark and the movements
+    before it, which are given out, sorted, only once the watermark has passed them. ``tie`` is a
+    bigint. Movements later than the watermark are dropped by Spark, never added at a wrong place.
+    """
+    names = [*keys, at, tie, "quantity"]
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    output = ", ".join(f"{n} {fields[n]}" for n in [*keys, tie]) + ", quantity bigint, _us bigint, balance bigint"
 
-    return stream.select(*names).groupBy(*keys).applyInPandasWithState(
-        step, output, "balance bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        balance, *held = state.get if state.exists else (opening, [], [], [])
+        parts = [pd.DataFrame(dict(zip(("_us", tie, "quantity"), map(list, held))), dtype="int64")]
+        if not state.hasTimedOut:
+            parts += [chunk[["_us", tie, "quantity"]].astype("int64") for chunk in chunks]
+        rows = pd.concat(parts, ignore_index=True).sort_values(["_us", tie], kind="stable", ignore_index=True)
+        ready = int((rows["_us"] < state.getCurrentWatermarkMs() * 1000).sum())
+        out, rest = rows.iloc[:ready].copy(), rows.iloc[ready:]
+        out["balance"] = balance + out["quantity"].cumsum()
+        state.update((int(out["balance"].iloc[-1]) if ready else balance, *(rest[c].tolist() for c in ("_us", tie, "quantity"))))
+        if len(rest):
+            _wake_at(state, int(rest["_us"].iloc[0]))
+        for name, value in zip(keys, key):
+            out[name] = value
+        yield out[[*keys, tie, "quantity", "_us", "balance"]]
+
+    timed = stream.select(*names).withWatermark(at, delay).withColumn("_us", F.unix_micros(at))
+    return timed.groupBy(*keys).applyInPandasWithState(
+        step, output, "balance bigint, _us array<bigint>, tie array<bigint>, quantity array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    ).select(*keys, F.timestamp_micros("_us").alias(at), tie, "quantity", "balance")

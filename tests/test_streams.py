@@ -42,3 +42,59 @@ def test_high_water_load_skips_what_it_has_seen(spark):
     source = spark.createDataFrame([(1,), (5,), (9,)], "at bigint")
     fresh, _ = operators.high_water_load(source, "at", 5)
     assert [r["at"] for r in fresh.collect()] == [9]
+
+
+class Watermarked:
+    """A folder that receives one file a batch, and a query that is stopped after every batch."""
+
+    def __init__(self, spark, schema):
+        self.spark, self.schema, self.root = spark, schema, scratch_path(spark, "batches")
+        spark.createDataFrame([], schema).write.parquet(f"{self.root}/in")
+
+    def run(self, build, batches):
+        for rows in batches:
+            self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.root}/in")
+            feed = self.spark.readStream.schema(self.spark.read.parquet(f"{self.root}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{self.root}/in")
+            started = (
+                build(feed).writeStream.outputMode("append").option("checkpointLocation", f"{self.root}/mark").trigger(availableNow=True)
+                .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{self.root}/out/batch={i}")).start()
+            )
+            started.awaitTermination()
+            assert started.exception() is None
+        return self.spark.read.parquet(f"{self.root}/out").drop("batch")
+
+
+HOUR = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+END = HOUR(24 * 365)
+
+
+def test_touches_after_their_purchase_and_expiry(spark):
+    """One batch a run, restarted on the checkpoint each time."""
+    rows = [
+        [("purchase", 1, HOUR(10), 100), ("touch", 1, HOUR(12), 3), ("purchase", 2, HOUR(1), 200)],
+        [("touch", 1, HOUR(9), 1), ("touch", 1, HOUR(8), 2), ("touch", 2, HOUR(1), 7), ("touch", 2, HOUR(1), 5)],
+        [("purchase", 1, HOUR(12) + dt.timedelta(days=7), 101), ("purchase", 1, HOUR(13) + dt.timedelta(days=7), 102), ("purchase", 3, HOUR(40), 300)],
+        [("touch", -1, END, 0)],
+    ]
+    def build(feed):
+        return operators.last_touch(feed.where("kind = 'touch'"), feed.where("kind = 'purchase'"), delay="2 days")
+    got = Watermarked(spark, "kind string, match_key long, ts timestamp, id long").run(build, rows).collect()
+    assert {(r.match_key, r.purchase_id, r.impression_id) for r in got} == {(1, 100, 1), (2, 200, 7), (1, 101, 3), (1, 102, None), (3, 300, None)}
+    assert len(got) == 5
+
+
+def test_late_movements_get_their_place(spark):
+    rows = [
+        [(1, HOUR(5), 50, 4), (1, HOUR(1), 10, -3)],
+        [(1, HOUR(3), 30, 2), (2, HOUR(2), 20, 1), (1, HOUR(3), 29, 7)],
+        [(1, HOUR(4), 40, -1), (1, HOUR(100), 60, 5)],
+        [(-1, END, 0, 0)],
+    ]
+    def build(feed):
+        return operators.running_balance(feed, ["k"], at="ts", tie="id", opening=20, delay="6 hours")
+    got = Watermarked(spark, "k long, ts timestamp, id long, quantity long").run(build, rows).where("k > 0").collect()
+    want, balance = {}, {1: 20, 2: 20}
+    for k, ts, i, q in sorted((r for batch in rows[:-1] for r in batch), key=lambda r: (r[0], r[1], r[2])):
+        balance[k] += q
+        want[k, i] = (ts, q, balance[k])
+    assert {(r.k, r.id): (r.ts, r.quantity, r.balance) for r in got} == want and len(got) == len(want)
