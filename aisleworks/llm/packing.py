@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from aisleworks.llm.common import encoded, is_space, map_arrow, materialised, slices, text_of
+from aisleworks.llm.common import encoded, is_space, map_arrow, materialised, range_hashes, slices, text_of
 
 WINDOW = 2048
 FRACTION = 1 << 12
@@ -47,6 +48,35 @@ def _unusual(text: bytes) -> bool:
     return any(lead in text for lead in _LEADS) and _UNUSUAL.search(text) is not None
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each piece's bytes, and a piece for every number; pieces lie end to end.
+
+    Pieces are grouped by a hash, then every byte is compared with that of the group's first
+    piece; a piece that differs gets a number by its bytes.
+    """
+    if not len(starts):
+        return starts, starts
+    ends = np.append(starts[1:], len(data))
+    code, distinct = pd.factorize(range_hashes(data, starts, ends))
+    where = np.empty(len(distinct), dtype=np.int64)
+    where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    length = ends - starts
+    shift = starts[where][code] - starts
+    other = np.minimum(np.arange(len(data)) + np.repeat(shift, length), len(data) - 1)
+    differs = np.add.reduceat(data[other] != data, starts, dtype=np.int64) > 0
+    differs |= length != length[where][code]
+    if differs.any():
+        raw, extra, more = data.tobytes(), {}, []
+        for i in np.flatnonzero(differs).tolist():
+            piece = raw[starts[i] : ends[i]]
+            if piece not in extra:
+                extra[piece] = len(where) + len(more)
+                more.append(i)
+            code[i] = extra[piece]
+        where = np.append(where, more)
+    return code, where
+
+
 class Encoder(dict):
     """Ids of whole texts, as the tokenizer file gives them.
 
@@ -94,11 +124,16 @@ class Encoder(dict):
         plain = [b"" if _unusual(t) else t for t in texts]
         raw = b"".join(plain)
         edges = np.concatenate(([0], np.cumsum([len(t) for t in plain]))).astype(np.int64)
-        starts = self._cuts(np.frombuffer(raw, dtype=np.uint8), edges) if raw else np.empty(0, dtype=np.int64)
-        cuts = starts.tolist()
-        found = [self[raw[a:b]] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
-        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2)))
-        ids, bounds = np.frombuffer(b"".join(found), dtype="<u4"), total[np.searchsorted(starts, edges)].tolist()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        starts = self._cuts(data, edges) if raw else np.empty(0, dtype=np.int64)
+        code, where = _distinct(data, starts)
+        ends = np.append(starts[1:], len(raw))
+        found = [self[raw[a:b]] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        sizes = np.fromiter((len(x) >> 2 for x in found), dtype=np.int64, count=len(found))
+        begin, each = np.cumsum(sizes) - sizes, sizes[code]
+        total = np.concatenate(([0], np.cumsum(each)))
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.arange(total[-1]) + np.repeat(begin[code] - total[:-1], each)]
+        bounds = total[np.searchsorted(starts, edges)].tolist()
         out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
         for i, (text, kept) in enumerate(zip(texts, plain)):
             if len(text) != len(kept):

@@ -122,6 +122,17 @@ def test_pieces_are_told_apart_by_their_bytes():
             assert [x.tolist() for x in encoder.batch([t.encode() for t in group])] == [whole.encode(t, add_special_tokens=False).ids for t in group]
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Every piece falls into one of two groups; ids stay those of the tokenizer."""
+    path = public_tokenizers.path
+    encoder = packing.Encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    whole = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "range_hashes", lambda data, starts, ends: (np.arange(len(starts)) % 2).astype(np.uint64))
+    texts = ["", "one two three two one", "a", "one two  three, don't\n\nlonger words at the end of the batch"]
+    for group in (texts, texts[::-1]):
+        assert [x.tolist() for x in encoder.batch([t.encode() for t in group])] == [whole.encode(t, add_special_tokens=False).ids for t in group]
+
+
 # --- periodic runs ------------------------------------------------------------------------------
 
 
