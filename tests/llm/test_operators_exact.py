@@ -351,6 +351,45 @@ def test_pages_main_text(spark):
     assert got[20] == "Title 20\nA lone page ä <b>"
 
 
+def plain(host, k, text, tail=""):
+    """A page without article or main, with boilerplate that only repetition shows."""
+    return (
+        k, f"http://{host}/{k}",
+        f"<html><body><div class='top'>Daily Gazette of Somewhere</div><div class='wrap'><div class='story post-{k}'><h1>Head {k}</h1>"
+        f"<div class='zz'><span>Pass it on</span> to your friends</div>{text}<p>All rights are with us.</p></div>"
+        f"<div class='xy'>Most read this week: <ul><li>Something we wrote once</li></ul></div></div>{tail}</body></html>",
+    )
+
+
+def test_pages_by_template(spark):
+    body = {k: "".join(f"<p>Part {i} of story {k} has words {k * i} and more of its own.</p>" for i in range(3, 6)) for k in range(1, 15)}
+    lines = {k: [f"Part {i} of story {k} has words {k * i} and more of its own." for i in range(3, 6)] for k in body}
+    rows = [plain("plain.example", k, body[k]) for k in range(1, 9)]
+    # Copies of one page are one page: they outnumber the others, yet their story is no template.
+    rows += [(100 + k, f"http://plain.example/copy{k}", rows[0][2]) for k in range(30)]
+    # Comments set as articles, and a notice without a telling name inside the article.
+    talk = "<div class='comments'>" + "<article><p>I read it and have a lot to say about all of it, as ever.</p></article>" * 9 + "</div>"
+    rows += [
+        (200 + k, f"http://talk.example/{k}", f"<html><body><article class='c{k}'><div class='qq'>Our shop has moved house</div>{body[k]}</article>{talk}</body></html>")
+        for k in range(1, 9)
+    ]
+    # A paragraph that most pages share, without an element of its own, stays; so does a page of template blocks alone.
+    shared = "<p>This very paragraph is in most of these stories.</p>"
+    rows += [
+        (300 + k, f"http://shared.example/{k}", f"<html><body><article>{shared if k < 7 else ''}{body[k]}</article></body></html>") for k in range(1, 9)
+    ]
+    # The article's place differs from page to page.
+    rows += [(400 + k, f"http://moved.example/{k}", f"<html><body><div>Other words</div><div class='kind{chr(96 + k)}'><article>{body[k]}</article></div></body></html>") for k in range(1, 9)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text.split("\n") for r in templates.extract(docs).collect()}
+    for k in range(1, 9):
+        assert got[k] == [f"Head {k}", *lines[k]]
+        assert got[200 + k] == lines[k]
+        assert got[300 + k] == ["This very paragraph is in most of these stories."] * (k < 7) + lines[k]
+        assert got[400 + k] == lines[k]
+    assert all(got[100 + k] == got[1] for k in range(30))
+
+
 def test_pages_edges(spark):
     deep = "<div>" * 50_000 + "deep" + "</div>" * 50_000
     rows = [
