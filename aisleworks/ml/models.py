@@ -159,6 +159,39 @@ def kmeans_segments(rfm: DataFrame, features: Sequence[str], *, ks: Sequence[int
     return out.drop("_raw", "features", "prediction").withColumns({"silhouette": F.lit(quality), "clusters": F.lit(k)})
 
 
+#: A segment whose members bought nothing for longer, on average, is lost.
+LOST_AFTER_DAYS = 180
+
+
+def segment_labels(clustered: DataFrame, *, recency: str, frequency: str, monetary: str) -> DataFrame:
+    """Add ``segment_label``, named by where a cluster's means lie among all customers' thirds.
+
+    The thirds are percentiles of the customers at 0.33 and 0.67, from a sketch with an error in
+    rank of at most one in ten thousand. Clusters are few, so their labels are broadcast.
+    """
+    thirds = clustered.agg(*[F.percentile_approx(c, [0.33, 0.67], 10_000).alias(f"_t_{c}") for c in (recency, frequency, monetary)])
+    means = clustered.groupBy("cluster_id").agg(*[F.avg(c).alias(f"_m_{c}") for c in (recency, frequency, monetary)])
+
+    def score(c: str, low_is_good: bool) -> Column:
+        mean, low, high = F.col(f"_m_{c}"), F.col(f"_t_{c}")[0], F.col(f"_t_{c}")[1]
+        if low_is_good:
+            return F.when(mean < low, 3).when(mean < high, 2).otherwise(1)
+        return F.when(mean > high, 3).when(mean > low, 2).otherwise(1)
+
+    r, f, m = F.col("_r"), F.col("_f"), F.col("_v")
+    label = (
+        F.when((r == 3) & (f == 3) & (m == 3), "Champions")
+        .when((r == 3) & (f >= 2) & (m >= 2), "Loyal Customers")
+        .when((r == 3) & (f <= 2) & (m <= 2), "New Customers")
+        .when((r == 2) & (f >= 2) & (m >= 2), "Potential Loyalists")
+        .when(r == 2, "At Risk")
+        .when((r == 1) & (F.col(f"_m_{recency}") > LOST_AFTER_DAYS), "Lost")
+        .otherwise("Hibernating")
+    )
+    scored = means.join(F.broadcast(thirds)).withColumns({"_r": score(recency, True), "_f": score(frequency, False), "_v": score(monetary, False)})
+    return clustered.join(F.broadcast(scored.select("cluster_id", label.alias("segment_label"))), "cluster_id")
+
+
 # --- market basket ---
 
 

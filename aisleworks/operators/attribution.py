@@ -90,13 +90,23 @@ def latest_payment(payments: DataFrame, key: str) -> DataFrame:
     )
 
 
-def by_journey_strict(purchases: DataFrame, touches: DataFrame, payments: DataFrame, promotions: DataFrame) -> DataFrame:
+def by_journey_strict(
+    purchases: DataFrame, touches: DataFrame, payments: DataFrame, promotions: DataFrame, *, report_shared: bool = False,
+) -> DataFrame:
     """Silver form: only fully reconciled journeys, plus reconciled purchases without one.
 
-    Two purchases on one journey make the run fail, as they would double its revenue.
+    Two purchases on one journey would double its revenue. They make the run fail, or with
+    ``report_shared`` stand in the result, where reconciled, as unattributed with a status of
+    their own.
     """
     linked = purchases.where(F.col("journey_id").isNotNull())
-    if not linked.groupBy("journey_id").count().where("count > 1").isEmpty():
+    per_key = linked.groupBy("journey_id").agg(F.count(F.lit(1)).alias("_n"))
+    apart = purchases.where(F.col("journey_id").isNull())
+    if report_shared:
+        shared = per_key.where("_n > 1").select("journey_id")
+        apart = apart.unionByName(linked.join(shared, "journey_id", "left_semi"))
+        linked = linked.join(per_key.where("_n = 1").select("journey_id"), "journey_id", "left_semi")
+    elif not per_key.where("_n > 1").isEmpty():
         raise ValueError("several purchases share one attribution journey")
     paid = latest_payment(payments, "purchase_key")
     per_journey = promotions.where("journey_id IS NOT NULL").groupBy("journey_id").agg(F.sum("promo_cents").alias("promo_cents"))
@@ -116,11 +126,10 @@ def by_journey_strict(purchases: DataFrame, touches: DataFrame, payments: DataFr
         .withColumn("attribution_status", F.lit("ATTRIBUTED"))
     )
     loose = (
-        purchases.where(F.col("journey_id").isNull())
-        .join(paid, "purchase_key")
+        apart.join(paid, "purchase_key")
         .join(per_purchase, "purchase_key", "left")
         .where(settled)
-        .withColumn("attribution_status", F.lit("UNATTRIBUTED_NO_JOURNEY"))
+        .withColumn("attribution_status", F.when(F.col("journey_id").isNull(), "UNATTRIBUTED_NO_JOURNEY").otherwise("UNATTRIBUTED_SHARED_JOURNEY"))
     )
     return _finish(complete.unionByName(loose, allowMissingColumns=True))
 

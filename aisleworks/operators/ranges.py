@@ -19,12 +19,13 @@ def lag_seconds(later: str, earlier: str) -> Column:
 
 def asof_last(
     purchases: DataFrame, touches: DataFrame, *, key: str, at: str, touch_at: str, touch_id: str,
-    carry: Sequence[str] = (), purchase_id: str,
+    carry: Sequence[str] = (), purchase_id: str, until: str | None = None,
 ) -> DataFrame:
     """Each purchase with the latest touch at or before it (ties: the largest touch id).
 
     Both sides are unioned and ordered once per key; no touch-purchase pairs are formed.
-    Purchases without an earlier touch keep NULLs. Touch times come back as ``touch_at``.
+    Purchases without an earlier touch keep NULLs. Touch times come back as ``touch_at``. With
+    ``until``, a carried column of unix seconds, only purchases up to then are returned.
     """
     touch = F.struct(F.col(touch_at).alias(touch_at), F.col(touch_id).alias(touch_id), *carry)
     left = touches.select(
@@ -37,6 +38,8 @@ def asof_last(
     )
     both = left.unionByName(right, allowMissingColumns=True)
     seen = ordered(both, ["_key"], ["_t", "_kind", "_id", "_tie"], latest={"_last": F.when(F.col("_kind") == 0, F.col("_touch"))})
+    if until:  # on the union's own time: Spark 4.1 loses fields of _row that a condition reads through the slices
+        seen = seen.where(F.unix_seconds("_t") <= F.col(f"_last.{until}"))
     return seen.where("_kind = 1").select(
         "_row.*", *[F.col(f"_last.{c}").alias(c) for c in (touch_at, touch_id, *carry)]
     )
@@ -80,22 +83,28 @@ def snapshot_grid(entities: DataFrame, first: Column, last: Column, *, every: in
     return entities.withColumn(out, F.explode(F.sequence(first, last, F.make_dt_interval(F.lit(every)))))
 
 
-def interval_candidates(
-    points: DataFrame, spans: DataFrame, *, keys: Sequence[str], at: str, start: str, end: str, grace_seconds: int = 0,
-    bucket_seconds: int = 3_600,
+def open_span(
+    points: DataFrame, spans: DataFrame, *, keys: Sequence[str], at: str, start: str, end: str, span_id: str, point_id: str, grace_seconds: int = 0,
 ) -> DataFrame:
-    """Pairs of a point and the spans of the same key that hold it, by time bucket.
+    """Each point with the span of the same keys that is open then, or ended at most ``grace_seconds`` before.
 
-    Spans are repeated once per bucket they touch and the join runs on (keys, bucket), so a
-    busy key is spread over its buckets.
+    Starts, ends and points go by in one ordered union that carries the last span begun, so no
+    pairs are formed and a hot key is cut into slices wherever its rows lie. The spans of one key
+    must not overlap (sessions do not): the last one begun is then the one that holds the point,
+    or else the one that ended last. All times count in whole seconds. Points without a span, and
+    rows with a null key, are left out.
     """
-    bucket = lambda c: F.floor(F.unix_seconds(c) / F.lit(bucket_seconds))
-    last_bucket = F.floor((F.unix_seconds(end) + grace_seconds) / F.lit(bucket_seconds))
-    wide = spans.withColumn("_bucket", F.explode(F.sequence(bucket(start), last_bucket)))
-    narrow = points.withColumn("_bucket", bucket(at))
-    joined = narrow.join(wide, [*keys, "_bucket"])
-    inside = (F.unix_seconds(at) >= F.unix_seconds(start)) & (F.unix_seconds(at) <= F.unix_seconds(end) + grace_seconds)
-    return joined.where(inside).drop("_bucket")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    place = F.struct(*keys)
+    second = F.date_trunc("second", start).cast(spans.schema[start].dataType)
+    begun = spans.where(known).select(place.alias("_place"), second.alias("_start"), (F.unix_seconds(end) + grace_seconds).alias("_until"), *[c for c in spans.columns if c not in keys])
+    found = asof_last(
+        points.where(known).withColumn("_place", place), begun, key="_place", at=at, touch_at="_start", touch_id=span_id, purchase_id=point_id,
+        carry=["_until", *[c for c in spans.columns if c not in (*keys, span_id)]], until="_until",
+    )
+    return found.drop("_place", "_start", "_until")
 
 
 def prior_history(

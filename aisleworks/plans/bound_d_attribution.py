@@ -70,20 +70,20 @@ def marketing_attribution_gold(t):
 
 
 @query("marketing_attribution_silver", """
-WITH p AS (SELECT * FROM v_journey_sold QUALIFY journey_id IS NULL OR row_number() OVER (PARTITION BY journey_id ORDER BY purchase_ts DESC, purchase_key DESC) = 1),
+WITH p AS (SELECT *, journey_id IS NOT NULL AND count(*) OVER (PARTITION BY journey_id) > 1 AS shared FROM v_journey_sold),
 touch AS (SELECT * FROM v_journey_touches QUALIFY row_number() OVER (PARTITION BY journey_id ORDER BY touch_ts DESC, impression_id DESC) = 1),
 pj AS (SELECT journey_id, sum(promo_cents) AS c FROM v_journey_promotions WHERE journey_id IS NOT NULL GROUP BY 1),
 pp AS (SELECT purchase_key, sum(promo_cents) AS c FROM v_journey_promotions GROUP BY 1),
 complete AS (SELECT p.*, y.payment_cents, t.touch_ts, t.impression_id, t.campaign_id, t.channel, 'ATTRIBUTED' AS attribution_status,
     CAST(floor(epoch_us(p.purchase_ts) / 1000000) - floor(epoch_us(t.touch_ts) / 1000000) AS BIGINT) AS lag_seconds
   FROM p JOIN touch t USING (journey_id) JOIN v_journey_payments y USING (purchase_key) LEFT JOIN pj ON pj.journey_id = p.journey_id
-  WHERE y.payment_status = 'APPROVED' AND y.payment_cents = p.total_cents AND coalesce(pj.c, 0) = p.discount_cents
+  WHERE NOT p.shared AND y.payment_status = 'APPROVED' AND y.payment_cents = p.total_cents AND coalesce(pj.c, 0) = p.discount_cents
     AND p.gross_cents - p.discount_cents = p.subtotal_cents AND p.customer_id = t.touch_customer_id
     AND floor(epoch_us(p.purchase_ts) / 1000000) - floor(epoch_us(t.touch_ts) / 1000000) BETWEEN 0 AND 604800),
 loose AS (SELECT p.*, y.payment_cents, CAST(NULL AS TIMESTAMP) AS touch_ts, CAST(NULL AS BIGINT) AS impression_id, CAST(NULL AS VARCHAR) AS campaign_id,
-    CAST(NULL AS VARCHAR) AS channel, 'UNATTRIBUTED_NO_JOURNEY' AS attribution_status, CAST(NULL AS BIGINT) AS lag_seconds
+    CAST(NULL AS VARCHAR) AS channel, CASE WHEN p.shared THEN 'UNATTRIBUTED_SHARED_JOURNEY' ELSE 'UNATTRIBUTED_NO_JOURNEY' END AS attribution_status, CAST(NULL AS BIGINT) AS lag_seconds
   FROM p JOIN v_journey_payments y USING (purchase_key) LEFT JOIN pp ON pp.purchase_key = p.purchase_key
-  WHERE p.journey_id IS NULL AND y.payment_status = 'APPROVED' AND y.payment_cents = p.total_cents AND coalesce(pp.c, 0) = p.discount_cents
+  WHERE (p.journey_id IS NULL OR p.shared) AND y.payment_status = 'APPROVED' AND y.payment_cents = p.total_cents AND coalesce(pp.c, 0) = p.discount_cents
     AND p.gross_cents - p.discount_cents = p.subtotal_cents)
 SELECT 'ATTR-' || purchase_type || '-' || CAST(purchase_key AS VARCHAR) AS attribution_id, journey_id, attribution_status, 'LAST_TOUCH_7D' AS attribution_model,
        7 AS attribution_window_days, touch_ts, impression_id, campaign_id, channel, customer_id, purchase_ts, lag_seconds, purchase_type, purchase_key,
@@ -93,10 +93,7 @@ FROM (SELECT * FROM complete UNION ALL BY NAME SELECT * FROM loose)""")
 def marketing_attribution_silver(t):
     j = t.journeys
     p = j["purchases"].withColumn("purchase_type", F.when(F.col("is_store"), "STORE").otherwise("ONLINE")).drop("is_store")
-    single = gold.latest_per_key(p.where("journey_id IS NOT NULL"), ["journey_id"], [F.desc("purchase_ts"), F.desc("purchase_key")])
-    return attribution.by_journey_strict(
-        single.unionByName(p.where("journey_id IS NULL")), j["touches"], j["payments"], j["promotions"]
-    )
+    return attribution.by_journey_strict(p, j["touches"], j["payments"], j["promotions"], report_shared=True)
 
 
 @query("fn_marketing_attribution", "SELECT * FROM v_labelled")

@@ -97,10 +97,10 @@ def assigned(t, walked):
         F.col("purchase_id").alias("receipt_id"), F.col("match_key").alias("customer_id"), (F.col("match_key") % 10).alias("store_id"), "purchase_ts", "total_cents"
     )
     spans = walked.select("store_id", "customer_id", "session_key", "session_start", "session_end")
-    pairs = ranges.interval_candidates(
-        receipts, spans, keys=["store_id", "customer_id"], at="purchase_ts", start="session_start", end="session_end", grace_seconds=300
+    return ranges.open_span(
+        receipts, spans, keys=["store_id", "customer_id"], at="purchase_ts", start="session_start", end="session_end",
+        span_id="session_key", point_id="receipt_id", grace_seconds=300,
     )
-    return journey.assign_receipts(pairs, receipt="receipt_id", at="purchase_ts")
 
 
 @query("join_interval_session", ASSIGN_SQL + " SELECT receipt_id, session_key, total_cents FROM assigned")

@@ -43,7 +43,7 @@ def evidence_status_counts(t):
 
 
 LIFT_SQL = """
-sales AS (SELECT store_id, p_brand AS product_id, event_date, receipt_id, quantity, ext_cents, CASE WHEN CAST(substr(promo_code, 4) AS INT) >= 8 THEN promo_code END AS promo_code,
+sales AS (SELECT store_id, p_brand AS product_id, event_date, receipt_id, quantity, ext_cents, promo_code,
   CASE WHEN promo_code IS NOT NULL THEN CAST(substr(promo_code, 4) AS DOUBLE) END AS discount_pct FROM v_lines JOIN part ON product_id = p_partkey WHERE line_type = 'SALE'),
 bounds AS (SELECT store_id, min(event_date) AS first_date, max(event_date) AS last_date FROM sales GROUP BY 1),
 days AS (SELECT DISTINCT store_id, promo_code, event_date FROM sales WHERE promo_code IS NOT NULL),
@@ -73,7 +73,7 @@ def lift_inputs(t):
     pct = F.substring("promo_code", 4, 2)
     sales = t.lines.where("line_type = 'SALE'").join(brand, "product_id").select(
         "store_id", F.col("brand").alias("product_id"), "event_date", "receipt_id", "quantity", "ext_cents",
-        F.when(pct.cast("int") >= 8, F.col("promo_code")).alias("promo_code"), pct.cast("double").alias("discount_pct"),
+        "promo_code", pct.cast("double").alias("discount_pct"),
     )
     bounds = sales.groupBy("store_id").agg(F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"))
     return sales, pricing.episode_windows(sales.where("promo_code IS NOT NULL"), bounds, gap_days=7, window_days=30)

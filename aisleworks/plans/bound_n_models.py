@@ -18,17 +18,26 @@ ROUNDS = 10
 # --- churn ---
 
 
+def customers(t):
+    return t.table("customer").select(F.col("c_custkey").alias("customer_id"))
+
+
 def spending(t):
     return t.receipts.select("customer_id", "event_date", F.col("total_cents").alias("cents"), F.col("payment_method").alias("category"))
 
 
-@query("churn_features", LOOKBACK_SQL + """
-SELECT customer_id, snapshot_date, count(*) AS purchases, CAST(sum(total_cents) AS BIGINT) AS spend_cents, count(DISTINCT event_date) AS active_days, CAST(snapshot_date - max(event_date) AS INTEGER) AS recency_days,
+@query("churn_features", LOOKBACK_SQL + """, everyone AS (SELECT c_custkey AS customer_id FROM customer UNION SELECT customer_id FROM v_receipts WHERE customer_id IS NOT NULL),
+spent AS (SELECT customer_id, snapshot_date, count(*) AS purchases, CAST(sum(total_cents) AS BIGINT) AS spend_cents, count(DISTINCT event_date) AS active_days,
   count(DISTINCT payment_method) AS categories, CAST(sum(total_cents) AS DOUBLE) / count(*) AS avg_basket_cents, round(stddev_samp(total_cents), 2) AS basket_stddev, round(stddev_samp(total_cents) / (CAST(sum(total_cents) AS DOUBLE) / count(*)), 6) AS basket_cv
-FROM v_receipts r JOIN snaps s ON r.event_date >= s.snapshot_date - 180 AND r.event_date < s.snapshot_date GROUP BY 1, 2""")
+  FROM v_receipts r JOIN snaps s ON r.event_date >= s.snapshot_date - 180 AND r.event_date < s.snapshot_date GROUP BY 1, 2),
+so_far AS (SELECT e.customer_id, s.snapshot_date, max(r.event_date) AS newest FROM everyone e CROSS JOIN snaps s LEFT JOIN v_receipts r ON r.customer_id = e.customer_id AND r.event_date < s.snapshot_date GROUP BY 1, 2)
+SELECT customer_id, snapshot_date, CAST(coalesce(snapshot_date - newest, snapshot_date - (SELECT min(snapshot_date) FROM snaps) + 181) AS INTEGER) AS recency_days,
+  coalesce(purchases, 0) AS purchases, coalesce(spend_cents, 0) AS spend_cents, coalesce(active_days, 0) AS active_days, coalesce(categories, 0) AS categories,
+  coalesce(avg_basket_cents, 0) AS avg_basket_cents, coalesce(basket_stddev, 0) AS basket_stddev, coalesce(basket_cv, 0) AS basket_cv
+FROM so_far LEFT JOIN spent USING (customer_id, snapshot_date)""")
 def churn_features(t):
     first, last = snapshot_span(t.receipts)
-    out = features.churn_features(spending(t), first=first, last=last, every=90, behind=180)
+    out = features.churn_rows(customers(t), spending(t), first=first, last=last, every=90, behind=180)
     return out.withColumns({"basket_stddev": F.round("basket_stddev", 2), "basket_cv": F.round("basket_cv", 6)})
 
 
@@ -45,8 +54,7 @@ def churn_scores(t):
     """Fit on early snapshots, calibrate later, score every customer at the newest; labels must be over."""
     names = ["purchases", "spend_cents", "active_days", "recency_days", "categories", "avg_basket_cents", "basket_stddev", "basket_cv"]
     first, last = snapshot_span(t.receipts)
-    customers = t.table("customer").select(F.col("c_custkey").alias("customer_id"))
-    x = features.churn_rows(customers, spending(t), first=first, last=last, every=90, behind=180)
+    x = features.churn_rows(customers(t), spending(t), first=first, last=last, every=90, behind=180)
     y = features.churn_labels(spending(t), first=first, last=last, every=90, ahead=90)
     rows = x.join(y, ["customer_id", "snapshot_date"], "left").fillna(1, ["churned"]).withColumn("known", F.date_add("snapshot_date", 90)).persist()
     closed = rows.where(F.col("known") <= last)
@@ -181,7 +189,8 @@ def demand_forecast(t):
 def customer_segments(t):
     rfm = gold.rfm(t.receipts.where("payment_status <> 'DECLINED'"), customer="customer_id", receipt="receipt_id", at="event_ts", cents="total_cents")
     out = models.kmeans_segments(rfm.drop("first_purchase", "last_purchase"), ["recency_days", "frequency", "monetary_cents"], ks=range(4, 11))
-    return out.select("customer_id", "recency_days", "frequency", "monetary_cents", "cluster_id", "clusters", "silhouette")
+    out = models.segment_labels(out, recency="recency_days", frequency="frequency", monetary="monetary_cents")
+    return out.select("customer_id", "recency_days", "frequency", "monetary_cents", "cluster_id", "segment_label", "clusters", "silhouette")
 
 
 def baskets(t):

@@ -176,3 +176,33 @@ def test_churn_rows_hold_lapsed_customers(spark):
         (3, 180): (0, 0, 181, 0.0), (3, 270): (0, 0, 271, 0.0), (3, 360): (0, 0, 361, 0.0),
         (4, 180): (0, 0, 181, 0.0), (4, 270): (0, 0, 271, 0.0), (4, 360): (0, 0, 361, 0.0),
     }
+
+
+def test_purchases_that_share_a_journey_are_reported(spark):
+    from aisleworks.operators import attribution
+
+    day = dt.datetime(2024, 3, 2)
+    sold = spark.createDataFrame(
+        [(1, "A", 5, day, 100, 0, 100, 0, 100), (2, "B", 5, day, 70, 0, 70, 0, 70), (3, "B", 5, day, 30, 0, 30, 0, 30), (4, None, 5, day, 9, 0, 9, 0, 9)],
+        "purchase_key long, journey_id string, customer_id long, purchase_ts timestamp, gross_cents long, discount_cents long, subtotal_cents long, tax_cents long, total_cents long",
+    ).selectExpr("*", "'STORE' AS purchase_type")
+    touches = spark.createDataFrame([(j, i, "C", "x", 5, day - dt.timedelta(days=1)) for i, j in enumerate("AB")], "journey_id string, impression_id long, campaign_id string, channel string, touch_customer_id long, touch_ts timestamp")
+    payments = sold.selectExpr("purchase_key", "journey_id", "'APPROVED' AS payment_status", "total_cents AS payment_cents", "purchase_ts AS payment_ts", "purchase_key AS transaction_id")
+    promotions = spark.createDataFrame([], "journey_id string, purchase_key long, promo_cents long")
+    with pytest.raises(ValueError):
+        attribution.by_journey_strict(sold, touches, payments, promotions)
+    got = attribution.by_journey_strict(sold, touches, payments, promotions, report_shared=True).collect()
+    shared = "UNATTRIBUTED_SHARED_JOURNEY"
+    assert {r.purchase_key: (r.attribution_status, r.attributed_revenue_cents) for r in got} == {
+        1: ("ATTRIBUTED", 100), 2: (shared, 0), 3: (shared, 0), 4: ("UNATTRIBUTED_NO_JOURNEY", 0),
+    }
+
+
+def test_segment_labels_by_thirds(spark):
+    from aisleworks.ml import models
+
+    rows = [(0, 5, 90 + i, 900) for i in range(30)] + [(1, 100, 40 + i % 9, 400) for i in range(40)] + [(2, 300, 1, 5) for _ in range(40)] + [(3, 5, 1, 5) for _ in range(5)]
+    df = spark.createDataFrame(rows, "cluster_id int, recency int, frequency int, monetary int")
+    got = models.segment_labels(df, recency="recency", frequency="frequency", monetary="monetary")
+    assert {(r.cluster_id, r.segment_label) for r in got.collect()} == {(0, "Champions"), (1, "Potential Loyalists"), (2, "Lost"), (3, "New Customers")}
+    assert got.count() == len(rows)

@@ -96,3 +96,29 @@ def test_prior_history_on_empty_sides(spark):
     settings = dict(target_at="at", history_at="since", value="v", groups={"all": [], "g": ["g"]})
     assert ranges.prior_history(t.limit(0), h, **settings).isEmpty()
     assert {(r.all_count, r.g_sum) for r in ranges.prior_history(t, h.limit(0), **settings).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_open_span_as_all_pairs(spark, hot):
+    """One visitor has all receipts in one hour; sessions end between, next to and on receipts."""
+    if hot:
+        spark.conf.set(HOT_KEY_ROWS, str(LIMIT))
+    draw = random.Random(5)
+    base = dt.datetime(2024, 3, 1, 9)
+    at = lambda s: base + dt.timedelta(seconds=s)
+    spans = [(1, 7, f"s{i}", at(i * 12), at(i * 12 + draw.randrange(8))) for i in range(300)]
+    spans += [(s, c, f"s{s}-{c}-{i}", at(i * 900), at(i * 900 + 300)) for s in (1, 2) for c in (8, 9) for i in range(5)] + [(None, 7, "none", at(0), at(9))]
+    points = [(1, 7, i, at(draw.randrange(3600))) for i in range(2000)]
+    points += [(s, c, 10_000 + 1000 * s + 100 * c + i, at(draw.randrange(5000))) for s in (1, 2) for c in (8, 9) for i in range(50)] + [(None, 7, 99_999, at(3)), (3, 3, 99_998, at(3))]
+    a = spark.createDataFrame(points, "store long, customer long, receipt long, at timestamp").repartition(7)
+    b = spark.createDataFrame(spans, "store long, customer long, session string, started timestamp, ended timestamp").repartition(5)
+    found = ranges.open_span(a, b, keys=["store", "customer"], at="at", start="started", end="ended", span_id="session", point_id="receipt", grace_seconds=2)
+    got = {r.receipt: r.session for r in found.collect()}
+    spark.conf.unset(HOT_KEY_ROWS)
+    want = {}
+    for store, customer, receipt, when in points:
+        open_now = [(e >= when, -abs((when - e).total_seconds()), s, k) for st, c, k, s, e in spans if (st, c) == (store, customer) and store is not None and s <= when <= e + dt.timedelta(seconds=2)]
+        if open_now:
+            want[receipt] = max(open_now)[3]
+    assert got == want and len(want) > 1000
+    assert ranges.open_span(a.limit(0), b, keys=["store", "customer"], at="at", start="started", end="ended", span_id="session", point_id="receipt").count() == 0
