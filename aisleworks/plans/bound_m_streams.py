@@ -124,19 +124,45 @@ def stream_attribution(t):
     return runs.collect_append(operators.last_touch(touches, purchases, delay=DISORDER), "attribution")
 
 
-@query("stream_alerts", """
-SELECT event_id, store_id, 'stockout' AS rule FROM v_raw WHERE event_type = 'error' UNION ALL SELECT event_id, store_id, 'reorder_urgent' FROM v_raw WHERE event_type = 'signup' AND k % 40 < 5
-UNION ALL SELECT event_id, store_id, 'high_value_receipt' FROM v_raw WHERE event_type = 'purchase' AND value > 20 UNION ALL SELECT event_id, store_id, 'zone_overcrowded' FROM v_raw WHERE k > 90""")
+CROWDED, DWELT = 6, 90
+
+
+@query("stream_alerts", f"""
+WITH moves AS (SELECT user_id, store_id, ingest_timestamp AS ts, event_type = 'click' AS leaves FROM v_raw WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL),
+ordered AS (SELECT *, lag(leaves) OVER w AS before, min(CASE WHEN leaves THEN ts END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS departed
+  FROM moves WINDOW w AS (PARTITION BY user_id ORDER BY ts, NOT leaves)),
+stays AS (SELECT store_id, CAST(user_id AS VARCHAR) AS subject, ts AS arrived, departed FROM ordered WHERE NOT leaves AND coalesce(before, true)),
+traffic AS (SELECT store_id, event_type AS subject, k % 7 AS c, k, unnest(generate_series(date_trunc('minute', ingest_timestamp) + INTERVAL 1 MINUTE, date_trunc('minute', ingest_timestamp) + INTERVAL 5 MINUTE, INTERVAL 1 MINUTE)) AS window_end FROM v_raw),
+single AS (SELECT store_id, CAST(event_id AS VARCHAR) AS subject, ingest_timestamp AS raised_at, event_type, k, value FROM v_raw)
+SELECT store_id, subject, 'stockout' AS rule, raised_at, CAST(k % 4 AS DOUBLE) AS measure FROM single WHERE event_type = 'error'
+UNION ALL SELECT store_id, subject, 'reorder_urgent', raised_at, CAST(k % 40 AS DOUBLE) FROM single WHERE event_type = 'signup' AND k % 40 < 5
+UNION ALL SELECT store_id, subject, 'high_value_receipt', raised_at, value FROM single WHERE event_type = 'purchase' AND value > 20
+UNION ALL SELECT store_id, subject, 'truck_dwell_breach', departed, (epoch_us(departed) - epoch_us(arrived)) / 60000000.0 FROM stays WHERE departed > arrived + INTERVAL 90 MINUTE
+UNION ALL SELECT store_id, subject, 'truck_overdue', arrived + INTERVAL 90 MINUTE, 90.0 FROM stays WHERE departed IS NULL OR departed > arrived + INTERVAL 90 MINUTE
+UNION ALL SELECT store_id, subject, 'zone_overcrowded', window_end, CAST(sum(c) AS DOUBLE) FROM traffic GROUP BY store_id, subject, window_end HAVING sum(c) > {CROWDED} OR CAST(sum(k) AS DOUBLE) / count(*) > {DWELT}""")
 def stream_alerts(t):
+    """All rules in one query over one feed that arrives in several batches, in no order of time.
+
+    Views and clicks of a user stand for arrivals and departures of a truck.
+    """
+    feed = shuffled_arrivals(t, ["user_id", "event_type", "k", "value"]).withColumn("store_id", F.col("user_id") % 10)
     kind, k = F.col("event_type"), F.col("k")
-    alerts = operators.rule_alerts(
-        events(t),
-        {
-            "stockout": kind == "error", "reorder_urgent": (kind == "signup") & (k % 40 < 5),
-            "high_value_receipt": (kind == "purchase") & (F.col("value") > 20), "zone_overcrowded": k > 90,
-        },
-        ["event_id", "store_id"],
+    single = operators.rule_alerts(
+        feed, {"stockout": kind == "error", "reorder_urgent": (kind == "signup") & (k % 40 < 5), "high_value_receipt": (kind == "purchase") & (F.col("value") > 20)},
+        ["store_id", F.col("event_id").cast("string").alias("subject"), F.col("ts").alias("raised_at"), "k", "value"],
     )
+    measure = F.when(F.col("rule") == "stockout", k % 4).when(F.col("rule") == "reorder_urgent", k % 40).otherwise(F.col("value"))
+    moves = feed.where(kind.isin("view", "click", "end")).withColumn("user_id", F.when(kind == "end", -1).otherwise(F.col("user_id")))
+    stays = operators.stay_alerts(moves, "user_id", "store_id", at="ts", leaves=kind == "click", minutes=90, delay=DISORDER)
+    crowds = operators.sliding(
+        feed, ["store_id", "event_type"], "ts", width="5 minutes", slide="1 minute", delay=DISORDER,
+        metrics=[F.sum(k % 7).alias("customers"), F.avg("k").alias("avg_dwell")],
+    ).where((F.col("customers") > CROWDED) | (F.col("avg_dwell") > DWELT))
+    alerts = single.select("store_id", "subject", "rule", "raised_at", measure.cast("double").alias("measure")).unionByName(
+        stays.select(F.col("site").alias("store_id"), "subject", F.concat(F.lit("truck_"), "rule").alias("rule"), "raised_at", "measure")
+    ).unionByName(crowds.select(
+        "store_id", F.col("event_type").alias("subject"), F.lit("zone_overcrowded").alias("rule"), F.col("window_end").alias("raised_at"), F.col("customers").cast("double").alias("measure")
+    ))
     return runs.collect_append(alerts, "alerts")
 
 
@@ -150,12 +176,14 @@ def stream_upsert_sink(t):
 @query("stream_late_quarantine", """
 SELECT event_id, ts, CASE WHEN k % 2 = 1 AND ts < (SELECT max(ts) FROM v_events WHERE k % 2 = 0) - INTERVAL 1 DAY THEN 'quarantine' ELSE 'main' END AS sink FROM v_events""")
 def stream_late_quarantine(t):
-    """Two files arrive one after the other; the second repeats the whole month."""
-    folder, root = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "quarantine")
+    """Two loads of many files arrive one after the other; the second repeats the whole month.
+
+    The stream stops after the first and goes on from its checkpoint, so each load is one batch.
+    """
+    folder, root, run = (scratch_path(t.spark, name) for name in ("arrivals", "quarantine", "late"))
     for rest in (0, 1):
-        t.keyed_events.where(F.col("k") % 2 == rest).select("event_id", "ts").coalesce(1).write.mode("append").parquet(folder)
-    feed = runs.stream_folder(t.spark, folder, files_per_batch=1)
-    runs.drain(feed, name="late", each=operators.quarantine_writer(root, "ts", delay="1 DAY"))
+        t.keyed_events.where(F.col("k") % 2 == rest).select("event_id", "ts").write.mode("append").parquet(folder)
+        runs.drain(runs.stream_folder(t.spark, folder), each=operators.quarantine_writer(root, "ts", delay="1 DAY"), root=run)
     return t.spark.read.parquet(f"{root}/rows").drop("batch_id")
 
 

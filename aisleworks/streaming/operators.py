@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,71 @@ def rule_alerts(stream: DataFrame, rules: dict[str, Column], keep: Sequence[str]
     return stream.select(*keep, F.explode(hits).alias("rule"))
 
 
+ALERT = "subject string, site string, rule string, raised_us bigint, measure double"
+
+
+def stay_alerts(
+    moves: DataFrame, subject: str, site: str, *, at: str, leaves: Column, minutes: float = 90.0, delay: str = "1 day"
+) -> DataFrame:
+    """Alerts on stays of more than ``minutes``: (subject, site, rule, raised_at, measure).
+
+    ``moves`` are arrivals and departures (``leaves`` is true) of a subject, a truck say, in any
+    order within ``delay``. A stay begins with an arrival while none is open and ends with the
+    next departure after it; further arrivals meanwhile, and departures with nothing open, change
+    nothing, and at one instant departures come first. ``overdue`` is raised by a timer when the
+    stay has lasted ``minutes`` without a departure, so for subjects that never leave as well;
+    ``dwell_breach`` at the departure, its measure being the minutes stayed. The site is the
+    arrival's, as text. Rows without subject, time or direction are left out.
+
+    Decisions wait for the watermark, so the order of arrival does not matter. The state of a
+    subject is its open stay and the moves that the watermark has not passed; a subject that has
+    left has none.
+    """
+    limit = int(minutes * 60_000_000)
+    timed = moves.select(F.col(subject).cast("string").alias("_subject"), F.col(site).cast("string").alias("_site"), leaves.alias("_leaves"), at).withWatermark(at, delay)
+    timed = timed.withColumn("_us", F.unix_micros(at)).where("_subject IS NOT NULL AND _us IS NOT NULL AND _leaves IS NOT NULL")
+
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun, begun_site, raised, *held = state.get if state.exists else ([], [], False, [], [], [])
+        names = ["_us", "_leaves", "_site"]
+        parts = [pd.DataFrame(dict(zip(names, map(list, held)))).astype({"_us": "int64", "_leaves": bool, "_site": object})]
+        if not state.hasTimedOut:
+            parts += [chunk[names].astype({"_us": "int64", "_leaves": bool}) for chunk in chunks]
+        rows = pd.concat(parts, ignore_index=True)
+        rows = rows.iloc[np.lexsort((rows["_site"].fillna("").to_numpy(dtype=str), ~rows["_leaves"], rows["_us"]))]
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = rows[rows["_us"] < mark]
+        rest = rows.iloc[len(ready) :]
+        gone = ready["_leaves"].to_numpy()
+        is_open = np.concatenate(([bool(begun)], ~gone))[: len(gone)]  # before each row
+        opens = ready[~gone & ~is_open]
+        starts = np.concatenate((np.array(begun, dtype=np.int64), opens["_us"].to_numpy()))
+        sites = [*begun_site, *opens["_site"].tolist()]
+        ends = ready["_us"].to_numpy()[gone & is_open]
+        stayed = np.append(ends, np.full(len(starts) - len(ends), mark - 1)) - starts
+        long = np.flatnonzero(stayed > limit)
+        late = long[1:] if raised and len(long) and long[0] == 0 else long
+        done = long[long < len(ends)]
+        yield pd.DataFrame({
+            "subject": key[0], "site": [sites[i] for i in (*late, *done)], "rule": ["overdue"] * len(late) + ["dwell_breach"] * len(done),
+            "raised_us": np.concatenate((starts[late] + limit, ends[done])), "measure": np.concatenate((np.full(len(late), float(minutes)), stayed[done] / 60e6)),
+        })
+        still = len(starts) > len(ends)
+        if not still and not len(rest):
+            state.remove()
+            return
+        raised = bool(still and stayed[-1] > limit)
+        state.update((starts[-1:].tolist() if still else [], sites[-1:] if still else [], raised, *(rest[n].tolist() for n in names)))
+        wake = [*rest["_us"].iloc[:1].tolist(), *([int(starts[-1]) + limit + 1] if still and not raised else [])]
+        if wake:
+            _wake_at(state, min(wake))
+
+    return timed.groupBy("_subject").applyInPandasWithState(
+        step, ALERT, "begun array<bigint>, begun_site array<string>, raised boolean, us array<bigint>, leaves array<boolean>, site array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    ).select("subject", F.col("site").cast(moves.schema[site].dataType).alias("site"), "rule", F.timestamp_micros("raised_us").alias("raised_at"), "measure")
+
+
 def merge_writer(target: str, keys: Sequence[str]):
     """foreachBatch writer that stores every key once.
 

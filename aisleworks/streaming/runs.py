@@ -34,14 +34,15 @@ def stream_folder(spark: SparkSession, path: str, *, files_per_batch: int | None
 
 def drain(
     stream: DataFrame, *, mode: str = "append", name: str = "stream", each: Callable[[DataFrame, int], None] | None = None,
-    partition_by: Sequence[str] = (),
+    partition_by: Sequence[str] = (), root: str | None = None,
 ) -> str:
     """Run a stream over everything available now; returns the table folder.
 
-    ``each`` replaces the default per-batch write.
+    ``each`` replaces the default per-batch write. ``root`` is the folder of an earlier run to
+    go on from.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     table = f"{root}/table"
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -98,3 +98,25 @@ def test_late_movements_get_their_place(spark):
         balance[k] += q
         want[k, i] = (ts, q, balance[k])
     assert {(r.k, r.id): (r.ts, r.quantity, r.balance) for r in got} == want and len(got) == len(want)
+
+
+def test_stays_over_batches(spark):
+    """Breaches, repeats, ties, a truck that never leaves; one batch a run, restarted each time."""
+    at = lambda m: HOUR(0) + dt.timedelta(minutes=m)
+    rows = [
+        [("a", 1, at(200), True), ("b", 2, at(10), False), ("c", 3, at(0), False), ("e", None, at(0), False), (None, 1, at(0), False)],
+        [("a", 1, at(0), False), ("a", 9, at(50), False), ("b", 2, at(100), True), ("c", 3, at(90), True), ("d", 4, at(5), True), ("c", 3, None, True)],
+        [("a", 1, at(300), False), ("a", 1, at(300), True), ("b", 2, at(100), False), ("b", 2, at(100), True), ("d", 4, at(5), False), ("e", 5, at(2000), True)],
+        [("a", 1, at(3000), True), ("b", 2, at(190), True)],
+        [("end", -1, END, False)],
+    ]
+    def build(feed):
+        from pyspark.sql import functions as F
+
+        return operators.stay_alerts(feed, "truck", "site", at="ts", leaves=F.col("leaves"), minutes=90, delay="40 hours")
+    got = Watermarked(spark, "truck string, site int, ts timestamp, leaves boolean").run(build, rows).collect()
+    assert sorted((r.subject, r.site or 0, r.rule, r.raised_at, r.measure) for r in got) == sorted([
+        ("a", 1, "overdue", at(90), 90.0), ("a", 1, "dwell_breach", at(200), 200.0),
+        ("a", 1, "overdue", at(390), 90.0), ("a", 1, "dwell_breach", at(3000), 2700.0),
+        ("d", 4, "overdue", at(95), 90.0), ("e", 0, "overdue", at(90), 90.0), ("e", 0, "dwell_breach", at(2000), 2000.0),
+    ])
