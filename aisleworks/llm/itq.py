@@ -7,10 +7,15 @@ candidates and are ranked with their original components in double precision. A
 meets in several tables counts in the first one only. Equal vectors are one class from the
 start. Large buckets are cut into blocks; a block returns counts per vector and a spanning
 forest of its links, never its pairs.
+
+Substrings lengthen with the logarithm of the number of vectors, so that a bucket keeps its
+size, and tables are added as longer substrings agree less often. Vectors of each length have
+buckets of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,28 +28,50 @@ from aisleworks.llm.common import bounded_groups, components, forest, map_arrow,
 
 #: Rows the rotations are fitted on; every row is indexed.
 FIT_ROWS = 8192
-#: Tables, and bits of the code per table. At a cosine of 0.9 one bit differs with a chance of
-#: about 0.14, so 20 tables of 12 bits find 96 % of such pairs; nearer pairs are found surely.
-TABLES, BITS = 20, 12
+#: Lengths a rotation is fitted for, the most frequent ones; each needs ``FIT_PER_DIMENSION``
+#: sampled rows a dimension. Vectors of other lengths are coded by a rotation drawn at random.
+FITTED, FIT_PER_DIMENSION = 16, 4
+#: Least bits of a substring, members that a bucket has on average, and the share of the pairs at
+#: the threshold that some table has to bring together (nearer pairs are found surely).
+BITS, BUCKET, RECALL = 12, 128, 0.965
 ITERATIONS = 30
 COSINE = 0.9
 BLOCK = 512
 
 
+def shape(n: int, cosine: float = COSINE, least: int = BITS) -> tuple[int, int]:
+    """(tables, bits of a table) for ``n`` vectors.
+
+    One bit of a pair at ``cosine`` differs with a chance of its angle over pi (0.14 at 0.9).
+    """
+    bits = min(30, max(least, math.ceil(math.log2(max(1, n) / BUCKET))))
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-agree)) if agree < 1 else 1, bits
+
+
 class Quantiser:
-    """Mean and rotations; codes are the signs of the rotated, centred unit vectors."""
+    """Rotations; codes are the signs of the rotated unit vectors.
+
+    The sample is taken with its mirror image, so nothing is subtracted: to centre on a mean that
+    lies in a dense group would spread the group's angles, and its links would be missed.
+    """
+
+    @classmethod
+    def drawn(cls, dims: int, bits: int) -> Quantiser:
+        """Directions by the length alone, for vectors too few to learn from."""
+        self = cls.__new__(cls)
+        self.projection = np.random.default_rng(dims).standard_normal((dims, bits))
+        return self
 
     def __init__(self, unit: np.ndarray, bits: int, iterations: int = ITERATIONS, seed: int = 5):
         dims = unit.shape[1]
-        self.mean = unit.mean(axis=0)
-        centred = unit - self.mean
-        _, axes = np.linalg.eigh(centred.T @ centred)
+        _, axes = np.linalg.eigh(unit.T @ unit)
         axes = axes[:, ::-1]
         random = np.random.default_rng(seed)
         projections = []
         for _ in range(-(-bits // dims)):
             rotation, _ = np.linalg.qr(random.standard_normal((dims, dims)))
-            data = centred @ axes
+            data = unit @ axes
             for _ in range(iterations):
                 codes = np.where(data @ rotation >= 0, 1.0, -1.0)
                 u, _, v = np.linalg.svd(codes.T @ data)
@@ -54,7 +81,7 @@ class Quantiser:
 
     def substrings(self, unit: np.ndarray, tables: int, bits: int) -> np.ndarray:
         """(rows, tables) of table keys."""
-        signs = ((unit - self.mean) @ self.projection >= 0).reshape(len(unit), tables, bits)
+        signs = (unit @ self.projection >= 0).reshape(len(unit), tables, bits)
         return (signs * (1 << np.arange(bits))).sum(axis=2)
 
 
@@ -68,42 +95,59 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _models(classes: DataFrame, fit_rows: int, bits: int) -> dict[int, Quantiser]:
+    """Quantisers by vector length, fitted on ``fit_rows`` rows in all."""
+    lengths = [r[0] for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(FITTED).collect()]
+    out = {}
+    for dims in lengths:
+        rows = classes.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(23), F.col("rep")), "rep").limit(fit_rows // len(lengths))
+        sample = rows.select("_v").toArrow()  # bounded by fit_rows
+        if sample.num_rows >= FIT_PER_DIMENSION * dims:
+            out[dims] = Quantiser(_unit(_matrix(sample.column(0).combine_chunks(), dims)), bits)
+    return out
+
+
 def near_vectors(
     vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE,
-    fit_rows: int = FIT_ROWS, tables: int = TABLES, bits: int = BITS,
+    fit_rows: int = FIT_ROWS, least_bits: int = BITS,
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Vectors that are null or zero or hold null or non-finite components link with nothing, as
-    do those whose length is not the most frequent one. ``component_id`` is the smallest id
+    Vectors that are null, empty or zero or hold null or non-finite components link with nothing;
+    vectors of any one length are compared with each other. ``component_id`` is the smallest id
     that links reach. Repeated rows count as separate vectors with one id. Rows with a null id
-    are never the smallest. An empty table gives no rows; other columns are ignored.
+    link and are counted like others, but a null is never the smallest id: their ``component_id``
+    is null, and they are kept, where no id is reached. An empty table gives no rows; other
+    columns are ignored. The classes are written, counted and sampled while the query is built.
     """
     base = vectors.select(F.col(id_column), F.col(column).cast("array<double>").alias("_v"))
-    finite = F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0), F.lit(False))
-    lengths = base.where(finite).groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = lengths[0]["n"] if lengths else 0
-    valid = finite & (F.size("_v") == dims) & (F.size("_v") > 0)
+    valid = F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0), F.lit(False))
+    # A class of rows without ids goes by a hash; the ids of its component are looked up at the end.
     classes = materialised(
-        base.where(valid & F.col(id_column).isNotNull()).groupBy("_v").agg(F.min(id_column).cast("long").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes"
+        base.where(valid).groupBy("_v").agg(F.min(id_column).cast("long").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("rep", F.coalesce("first_id", F.xxhash64("_v"))).withColumn("dims", F.size("_v")),
+        "vector-classes",
     )
-    sample = classes.orderBy(F.xxhash64(F.lit(23), F.col("rep")), "rep").limit(fit_rows).select("_v").toArrow()  # bounded by fit_rows
-    fitted = _unit(_matrix(sample.column(0).combine_chunks(), dims)) if sample.num_rows else np.zeros((1, max(1, dims)))
-    model = Quantiser(fitted, tables * bits)
+    tables, bits = shape(classes.count(), cosine, least_bits)
+    models = _models(classes, fit_rows, tables * bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(models)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit(_matrix(batch.column("_v"), dims))
-            keys = model.substrings(unit, tables, bits) + np.arange(tables) * (1 << bits)
-            listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int32).ravel()), tables).cast(pa.list_(pa.int32()))
-            raw = pa.array([v.tobytes() for v in unit], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), raw, listed], names=["rep", "copies", "unit", "keys"])
-
-    coded = map_arrow(classes, code, "rep long, copies long, unit binary, keys array<int>")
-    members = coded.withColumn("key", F.explode("keys"))
-    groups = bounded_groups(members, ["key"], "rep", BLOCK)
+            lengths = batch.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == dims))
+                if dims not in known:
+                    known[dims] = Quantiser.drawn(dims, tables * bits)
+                unit = _unit(_matrix(part.column("_v"), dims))
+                keys = known[dims].substrings(unit, tables, bits)
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int32).ravel()), tables).cast(pa.list_(pa.int32()))
+                raw = pa.array([v.tobytes() for v in unit], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dims", "rep", "copies")), raw, listed], names=["dims", "rep", "copies", "unit", "keys"])
+
+    coded = map_arrow(classes.select("_v", "dims", "rep", "copies"), code, "dims int, rep long, copies long, unit binary, keys array<int>")
+    members = coded.select("*", F.posexplode("keys").alias("table", "key"))
+    groups = bounded_groups(members, ["dims", "table", "key"], "rep", BLOCK)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +157,12 @@ def near_vectors(
             ends = np.cumsum(pc.list_value_length(rows).to_numpy())
             first, second = batch.column("first").to_numpy(), batch.column("second").to_numpy()
             reps, copies, own = (flat.field(c).to_numpy() for c in ("rep", "copies", "block"))
-            unit = np.frombuffer(b"".join(flat.field("unit").to_pylist()), dtype=np.float64).reshape(-1, dims)
+            units = flat.field("unit").to_pylist()
             keys = flat.field("keys").flatten().to_numpy().reshape(-1, tables)
-            for i, table in enumerate(batch.column("key").to_numpy() >> bits):
+            for i, (table, dims) in enumerate(zip(batch.column("table").to_pylist(), batch.column("dims").to_pylist())):
                 s, e = int(ends[i - 1]) if i else 0, int(ends[i])
-                near = unit[s:e] @ unit[s:e].T >= cosine
+                unit = np.frombuffer(b"".join(units[s:e]), dtype=np.float64).reshape(-1, dims)
+                near = unit @ unit.T >= cosine
                 if first[i] != second[i]:  # pairs within one block belong to its own row
                     near &= own[s:e, None] != own[None, s:e]
                 a, b = np.nonzero(np.triu(near, 1))
@@ -137,18 +182,24 @@ def near_vectors(
                 out[2].append(reps[s:e][forest(joined)[some]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["rep", "links", "root"])
 
-    found = materialised(map_arrow(groups.select("key", "first", "second", "members"), rank, "rep long, links long, root long"), "vector-links")
+    found = materialised(map_arrow(groups.select("dims", "table", "first", "second", "members"), rank, "rep long, links long, root long"), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found, "rep", "root")
+    # Components whose smallest name is not an id, because rows without ids are in them.
+    renamed = (
+        classes.join(joined, F.col("rep") == F.col("node")).groupBy(F.col("component").alias("hashed")).agg(F.min("first_id").alias("least"))
+        .where("least IS NULL OR least <> hashed")
+    )
+    smallest = F.when(F.col("hashed").isNotNull(), F.col("least")).otherwise(F.coalesce("component", "first_id"))
     per_class = (
-        classes.join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-        .select(F.col("_v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        classes.join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").join(renamed, F.col("component") == F.col("hashed"), "left")
+        .select(F.col("_v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), smallest.alias("component_id"))
     )
     return (
-        base.join(per_class, valid & F.col(id_column).isNotNull() & (F.col("_v") == F.col("_class")), "left")
+        base.join(per_class, valid & (F.col("_v") == F.col("_class")), "left")
         .select(
             id_column, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("component_id", F.col(id_column).cast("long")).alias("component_id"),
         )
-        .withColumn("kept", F.col(id_column) == F.col("component_id"))
+        .withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
     )

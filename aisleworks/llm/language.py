@@ -23,7 +23,7 @@ from aisleworks.llm.common import map_arrow, slices, text_of
 BUCKETS = 1 << 15
 #: Cost of a change of language between two words, in nats.
 SWITCH = 12.0
-#: Languages are the most frequent values of the label column, this many at most.
+#: Every value of the label column is a language; more of them than this are refused, never dropped.
 LANGUAGES = 256
 #: A language is written in a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -45,7 +45,7 @@ SCRIPTS = (
     ("georgian", ((0x10A0, 0x10FF),)),
     ("hangul", ((0x1100, 0x11FF), (0xAC00, 0xD7AF))),
     ("kana", ((0x3040, 0x30FF),)),
-    ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF))),
+    ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x3FFFF))),
 )
 OTHER = len(SCRIPTS)
 WIDTH = BUCKETS + len(SCRIPTS) + 1
@@ -53,7 +53,7 @@ WIDTH = BUCKETS + len(SCRIPTS) + 1
 
 def _letters() -> np.ndarray:
     table = np.zeros(0x110000, dtype=bool)
-    table[[i for i in range(0x30000) if chr(i).isalpha()]] = True
+    table[[i for i in range(0x110000) if chr(i).isalpha()]] = True
     return table
 
 
@@ -163,9 +163,15 @@ class Model:
 
 
 def fit(docs: DataFrame, label: str = "lang", languages: int = LANGUAGES) -> Model:
-    """Count all rows of ``docs`` with a label. At most ``languages`` rows of fixed size come back."""
+    """Count all rows of ``docs`` with a label, in jobs of its own while a query is built.
+
+    All label values are learned; a table with more than ``languages`` of them raises ValueError.
+    Counts of fixed size per language come back to the driver.
+    """
     labelled = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_lang"), text_of().alias("_text"))
-    names = sorted(r[0] for r in labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect())
+    names = sorted(r[0] for r in labelled.select("_lang").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} values in column {label}: set languages higher, or clean the labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {name: i for i, name in enumerate(names)}
@@ -187,8 +193,8 @@ def fit(docs: DataFrame, label: str = "lang", languages: int = LANGUAGES) -> Mod
 
     counts = np.zeros((len(names), WIDTH), dtype=np.int64)
     if names:
-        for k, at, n in map_arrow(labelled, run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n")).collect():
-            counts[k, at] = n
+        got = map_arrow(labelled, run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+        counts[got.column("k").to_numpy(), got.column("at").to_numpy()] = got.column("n").to_numpy()
     return Model(names, counts)
 
 
