@@ -122,10 +122,10 @@ def near_vectors(
     """
     base = vectors.select(F.col(id_column), F.col(column).cast("array<double>").alias("_v"))
     valid = F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0), F.lit(False))
-    # A class of rows without ids goes by a hash; the ids of its component are looked up at the end.
+    # A class is named by its smallest id; one of rows without ids by a hash, marked to sort behind all ids.
     classes = materialised(
         base.where(valid).groupBy("_v").agg(F.min(id_column).cast("long").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("rep", F.coalesce("first_id", F.xxhash64("_v"))).withColumn("dims", F.size("_v")),
+        .select("_v", F.col("first_id").isNull().cast("int").alias("missing"), F.coalesce("first_id", F.xxhash64("_v")).alias("rep"), "copies", F.size("_v").alias("dims")),
         "vector-classes",
     )
     tables, bits = shape(classes.count(), cosine, least_bits)
@@ -143,20 +143,20 @@ def near_vectors(
                 keys = known[dims].substrings(unit, tables, bits)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.astype(np.int32).ravel()), tables).cast(pa.list_(pa.int32()))
                 raw = pa.array([v.tobytes() for v in unit], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dims", "rep", "copies")), raw, listed], names=["dims", "rep", "copies", "unit", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dims", "missing", "rep", "copies")), raw, listed], names=["dims", "missing", "rep", "copies", "unit", "keys"])
 
-    coded = map_arrow(classes.select("_v", "dims", "rep", "copies"), code, "dims int, rep long, copies long, unit binary, keys array<int>")
+    coded = map_arrow(classes.select("_v", "dims", "missing", "rep", "copies"), code, "dims int, missing int, rep long, copies long, unit binary, keys array<int>")
     members = coded.select("*", F.posexplode("keys").alias("table", "key"))
     groups = bounded_groups(members, ["dims", "table", "key"], "rep", BLOCK)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = batch.column("members")
             flat = rows.flatten()
             ends = np.cumsum(pc.list_value_length(rows).to_numpy())
             first, second = batch.column("first").to_numpy(), batch.column("second").to_numpy()
-            reps, copies, own = (flat.field(c).to_numpy() for c in ("rep", "copies", "block"))
+            missing, reps, copies, own = (flat.field(c).to_numpy() for c in ("missing", "rep", "copies", "block"))
             units = flat.field("unit").to_pylist()
             keys = flat.field("keys").flatten().to_numpy().reshape(-1, tables)
             for i, (table, dims) in enumerate(zip(batch.column("table").to_pylist(), batch.column("dims").to_pylist())):
@@ -176,24 +176,22 @@ def near_vectors(
                 links = np.bincount(a, weights=copies[s + b], minlength=e - s) + np.bincount(b, weights=copies[s + a], minlength=e - s)
                 joined = np.zeros((e - s, e - s), dtype=bool)
                 joined[a, b] = joined[b, a] = True
-                some = np.flatnonzero(links)
-                out[0].append(reps[s:e][some])
-                out[1].append(links[some].astype(np.int64))
-                out[2].append(reps[s:e][forest(joined)[some]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["rep", "links", "root"])
-
-    found = materialised(map_arrow(groups.select("dims", "table", "first", "second", "members"), rank, "rep long, links long, root long"), "vector-links")
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found, "rep", "root")
-    # Components whose smallest name is not an id, because rows without ids are in them.
-    renamed = (
-        classes.join(joined, F.col("rep") == F.col("node")).groupBy(F.col("component").alias("hashed")).agg(F.min("first_id").alias("least"))
-        .where("least IS NULL OR least <> hashed")
+                some = s + np.flatnonzero(links)
+                root = s + forest(joined)[some - s]
+                for column_, values in zip(out, (missing[some], reps[some], links[some - s], missing[root], reps[root])):
+                    column_.append(values.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["missing", "rep", "links", "root_missing", "root"])
+
+    found = materialised(
+        map_arrow(groups.select("dims", "table", "first", "second", "members"), rank, "missing long, rep long, links long, root_missing long, root long"), "vector-links"
     )
-    smallest = F.when(F.col("hashed").isNotNull(), F.col("least")).otherwise(F.coalesce("component", "first_id"))
+    linked = found.groupBy("missing", "rep").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.struct("missing", "rep").alias("a"), F.struct(F.col("root_missing").alias("missing"), F.col("root").alias("rep")).alias("b")))
+    joined = joined.select(F.col("node.missing").alias("missing"), F.col("node.rep").alias("rep"), "component")
+    smallest = F.coalesce("component", F.struct(F.col("missing").cast("long").alias("missing"), "rep"))
     per_class = (
-        classes.join(linked, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").join(renamed, F.col("component") == F.col("hashed"), "left")
-        .select(F.col("_v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), smallest.alias("component_id"))
+        classes.join(linked, ["missing", "rep"], "left").join(joined, ["missing", "rep"], "left")
+        .select(F.col("_v").alias("_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(smallest["missing"] == 0, smallest["rep"]).alias("component_id"))
     )
     return (
         base.join(per_class, valid & (F.col("_v") == F.col("_class")), "left")
