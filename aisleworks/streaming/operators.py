@@ -123,6 +123,16 @@ def stay_alerts(
     ).select("subject", F.col("site").cast(moves.schema[site].dataType).alias("site"), "rule", F.timestamp_micros("raised_us").alias("raised_at"), "measure")
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What batches before ``batch_id`` stored; None where nothing is stored yet. Other errors are raised."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def merge_writer(target: str, keys: Sequence[str]):
     """foreachBatch writer that stores every key once.
 
@@ -131,12 +141,8 @@ def merge_writer(target: str, keys: Sequence[str]):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(target).where(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            stored = batch.limit(0)
-        insert_only_merge(batch, stored, keys).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        stored = _earlier(batch.sparkSession, target, batch_id)
+        insert_only_merge(batch, batch.limit(0) if stored is None else stored, keys).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return write
 
@@ -152,22 +158,20 @@ def high_water_load(source: DataFrame, at: str, mark) -> tuple[DataFrame, Column
 
 
 def quarantine_writer(root: str, at: str, *, delay: str):
-    """foreachBatch writer that splits off rows older than the mark of earlier batches."""
+    """foreachBatch writer that splits off rows older than the mark of earlier batches.
 
-    def earlier_mark(spark: SparkSession, batch_id: int):
-        try:
-            marks = spark.read.parquet(f"{root}/marks").where(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            return None
-        return marks.agg(F.max("mark")).first()[0]
+    The batch is evaluated once; its mark is read from the one column of what it stored.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mark = earlier_mark(spark, batch_id)
+        marks = _earlier(spark, f"{root}/marks", batch_id)
+        mark = None if marks is None else marks.agg(F.max("mark")).first()[0]
         limit = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         late = F.coalesce(F.col(at) < limit, F.lit(False)) if mark is not None else F.lit(False)
-        batch.withColumn("sink", F.when(late, "quarantine").otherwise("main")).write.mode("overwrite").parquet(f"{root}/rows/batch_id={batch_id}")
-        batch.agg(F.max(at).alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
+        folder = f"{root}/rows/batch_id={batch_id}"
+        batch.withColumn("sink", F.when(late, "quarantine").otherwise("main")).write.mode("overwrite").parquet(folder)
+        spark.read.schema(batch.schema).parquet(folder).agg(F.max(at).alias("mark")).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
 
     return write
 

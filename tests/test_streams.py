@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
+from pyspark.errors import AnalysisException
 
 from aisleworks.session import scratch_path
 from aisleworks.streaming import operators
@@ -17,6 +19,14 @@ def test_merge_writer_is_idempotent(spark):
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(8))
 
 
+def test_merge_writer_raises_other_errors(spark):
+    """Only a target that is not there yet is a first batch; one without batch numbers is an error."""
+    target = scratch_path(spark, "merge")
+    spark.range(5).write.parquet(target)
+    with pytest.raises(AnalysisException):
+        operators.merge_writer(target, ["id"])(spark.range(3), 1)
+
+
 def test_quarantine_uses_earlier_batches_only(spark):
     root = scratch_path(spark, "late")
     write = operators.quarantine_writer(root, "ts", delay="1 HOUR")
