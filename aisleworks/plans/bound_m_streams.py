@@ -18,24 +18,27 @@ def events(t):
     )
 
 
-#: Files of ``shuffled_arrivals`` reach over the whole table, so rows are late by its length.
+#: Loads of ``over_shuffled_arrivals`` reach over the whole table, so rows are late by its length.
 DISORDER, PARTS = "400 days", 3
 
 
-def shuffled_arrivals(t, columns):
-    """Events in files of their own by a hash, one file a batch; the last one only ends the stream.
+def over_shuffled_arrivals(t, columns, name, build):
+    """What ``build`` makes of events that arrive in loads by a hash; the last load only ends the stream.
 
-    The files are written with the table's own partitions; nothing passes through one task.
+    The files are written with the table's own partitions; nothing passes through one task. The
+    stream stops after each load and goes on from its checkpoint, so a load is one batch however
+    many files it has, and the number of batches does not grow with the table.
     """
-    folder = scratch_path(t.spark, "arrivals")
+    folder, run = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, name)
     rows = t.keyed_events.select("event_id", "ts", *columns)
-    for part in range(PARTS):
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(PARTS)) == part).write.mode("append").parquet(folder)
     types = {f.name: f.dataType for f in rows.schema}
     end = {"event_id": F.lit(-1), "ts": F.expr("TIMESTAMP '2200-01-01 00:00:00'"), "event_type": F.lit("end"), "k": F.lit(0)}
     last = t.spark.range(1).select(*[end.get(c, F.lit(None)).cast(types[c]).alias(c) for c in rows.columns])
-    last.write.mode("append").parquet(folder)
-    return runs.stream_folder(t.spark, folder, files_per_batch=1)
+    for load in (*(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(PARTS)) == part) for part in range(PARTS)), last):
+        load.write.mode("append").parquet(folder)
+        stream = build(runs.stream_folder(t.spark, folder))
+        table = runs.drain(stream, root=run)
+    return runs.appended(t.spark, table, stream.schema)
 
 
 @query("source_file_stream", "SELECT event_id, ts, user_id, event_type FROM events")
@@ -118,10 +121,11 @@ def stream_stream_truck_join(t):
 SELECT p.match_key, p.purchase_id, l.impression_id FROM v_purchases p LEFT JOIN v_last_touch l ON l.purchase_id = p.purchase_id""")
 def stream_attribution(t):
     """Touches and purchases arrive in several batches, in no order of time."""
-    feed = shuffled_arrivals(t, ["user_id", "event_type"]).select(F.col("user_id").alias("match_key"), "ts", F.col("event_id").alias("id"), "event_type")
-    touches = feed.where(F.col("event_type").isin("view", "click", "end"))
-    purchases = feed.where("event_type = 'purchase'")
-    return runs.collect_append(operators.last_touch(touches, purchases, delay=DISORDER), "attribution")
+    def build(arrivals):
+        kind = F.col("event_type")
+        feed = arrivals.select(F.when(kind == "end", -1).otherwise(F.col("user_id")).alias("match_key"), "ts", F.col("event_id").alias("id"), "event_type")
+        return operators.last_touch(feed.where(kind.isin("view", "click", "end")), feed.where(kind == "purchase"), delay=DISORDER)
+    return over_shuffled_arrivals(t, ["user_id", "event_type"], "attribution", build)
 
 
 CROWDED, DWELT = 6, 90
@@ -145,7 +149,11 @@ def stream_alerts(t):
 
     Views and clicks of a user stand for arrivals and departures of a truck.
     """
-    feed = shuffled_arrivals(t, ["user_id", "event_type", "k", "value"]).withColumn("store_id", F.col("user_id") % 10)
+    return over_shuffled_arrivals(t, ["user_id", "event_type", "k", "value"], "alerts", all_alerts)
+
+
+def all_alerts(arrivals):
+    feed = arrivals.withColumn("store_id", F.col("user_id") % 10)
     kind, k = F.col("event_type"), F.col("k")
     single = operators.rule_alerts(
         feed, {"stockout": kind == "error", "reorder_urgent": (kind == "signup") & (k % 40 < 5), "high_value_receipt": (kind == "purchase") & (F.col("value") > 20)},
@@ -158,12 +166,11 @@ def stream_alerts(t):
         feed, ["store_id", "event_type"], "ts", width="5 minutes", slide="1 minute", delay=DISORDER,
         metrics=[F.sum(k % 7).alias("customers"), F.avg("k").alias("avg_dwell")],
     ).where((F.col("customers") > CROWDED) | (F.col("avg_dwell") > DWELT))
-    alerts = single.select("store_id", "subject", "rule", "raised_at", measure.cast("double").alias("measure")).unionByName(
+    return single.select("store_id", "subject", "rule", "raised_at", measure.cast("double").alias("measure")).unionByName(
         stays.select(F.col("site").alias("store_id"), "subject", F.concat(F.lit("truck_"), "rule").alias("rule"), "raised_at", "measure")
     ).unionByName(crowds.select(
         "store_id", F.col("event_type").alias("subject"), F.lit("zone_overcrowded").alias("rule"), F.col("window_end").alias("raised_at"), F.col("customers").cast("double").alias("measure")
     ))
-    return runs.collect_append(alerts, "alerts")
 
 
 @query("stream_upsert_sink", "SELECT user_id, count(*) AS events, CAST(sum(k) AS BIGINT) AS k_sum FROM v_events GROUP BY 1")
@@ -193,9 +200,10 @@ SELECT store_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN -(k % 5) E
     "event_type", "r_type").replace("FROM v_raw JOIN events USING (event_id)", "FROM (SELECT store_id, event_id, ingest_timestamp AS ts, event_type AS r_type, k FROM v_raw)"))
 def stream_running_balance(t):
     """Movements arrive in several batches, in no order of time."""
-    moves = shuffled_arrivals(t, ["user_id", "event_type", "k"]).select(
-        F.coalesce(F.col("user_id") % 10, F.lit(-1)).alias("store_id"), "ts", "event_id",
-        F.when(F.col("event_type") == "purchase", -(F.col("k") % 5)).otherwise(F.col("k") % 3).alias("quantity"),
-    )
-    balances = operators.running_balance(moves, ["store_id"], at="ts", tie="event_id", opening=20, delay=DISORDER)
-    return runs.collect_append(balances, "balance").where("store_id >= 0")
+    def build(arrivals):
+        moves = arrivals.select(
+            F.when(F.col("event_type") == "end", -100).otherwise(F.col("user_id") % 10).alias("store_id"), "ts", "event_id",
+            F.when(F.col("event_type") == "purchase", -(F.col("k") % 5)).otherwise(F.col("k") % 3).alias("quantity"),
+        )
+        return operators.running_balance(moves, ["store_id"], at="ts", tie="event_id", opening=20, delay=DISORDER)
+    return over_shuffled_arrivals(t, ["user_id", "event_type", "k"], "balance", build).where("store_id IS NULL OR store_id > -100")

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,11 +59,32 @@ def rule_alerts(stream: DataFrame, rules: dict[str, Column], keep: Sequence[str]
     return stream.select(*keep, F.explode(hits).alias("rule"))
 
 
+#: Keys are dealt to so many states: a call of Python handles all keys of one, not one key.
+BUCKETS = 1024
+
+
+def _kept(frame: pd.DataFrame) -> bytes:
+    """A frame as one binary state value."""
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _with_kept(kept: bytes | None, chunks: Iterator[pd.DataFrame], types: dict[str, str], state: GroupState) -> pd.DataFrame:
+    """The rows held in the state and those that came, in the given columns."""
+    parts = [pd.DataFrame({n: [] for n in types}).astype(types) if kept is None else pa.ipc.open_stream(kept).read_pandas()]
+    if not state.hasTimedOut:
+        parts += [chunk[list(types)].astype(types) for chunk in chunks]
+    parts = [p for p in parts if len(p)] or parts[:1]
+    return pd.concat(parts, ignore_index=True)
+
+
 ALERT = "subject string, site string, rule string, raised_us bigint, measure double"
 
 
 def stay_alerts(
-    moves: DataFrame, subject: str, site: str, *, at: str, leaves: Column, minutes: float = 90.0, delay: str = "1 day"
+    moves: DataFrame, subject: str, site: str, *, at: str, leaves: Column, minutes: float = 90.0, delay: str = "1 day", buckets: int = BUCKETS
 ) -> DataFrame:
     """Alerts on stays of more than ``minutes``: (subject, site, rule, raised_at, measure).
 
@@ -74,52 +96,53 @@ def stay_alerts(
     ``dwell_breach`` at the departure, its measure being the minutes stayed. The site is the
     arrival's, as text. Rows without subject, time or direction are left out.
 
-    Decisions wait for the watermark, so the order of arrival does not matter. The state of a
-    subject is its open stay and the moves that the watermark has not passed; a subject that has
-    left has none.
+    Decisions wait for the watermark, so the order of arrival does not matter. The state holds, for
+    the subjects of one of ``buckets`` hash values, the open stays and the moves that the watermark
+    has not passed; a subject that has left has nothing there.
     """
     limit = int(minutes * 60_000_000)
     timed = moves.select(F.col(subject).cast("string").alias("_subject"), F.col(site).cast("string").alias("_site"), leaves.alias("_leaves"), at).withWatermark(at, delay)
-    timed = timed.withColumn("_us", F.unix_micros(at)).where("_subject IS NOT NULL AND _us IS NOT NULL AND _leaves IS NOT NULL")
+    timed = timed.withColumn("_us", F.unix_micros(at)).where("_subject IS NOT NULL AND _us IS NOT NULL AND _leaves IS NOT NULL").select(
+        "*", F.lit(False).alias("_open"), F.lit(False).alias("_raised"), F.pmod(F.xxhash64("_subject"), F.lit(buckets)).alias("_bucket")
+    )
+    types = {"_subject": "object", "_site": "object", "_us": "int64", "_leaves": "bool", "_open": "bool", "_raised": "bool"}
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, begun_site, raised, *held = state.get if state.exists else ([], [], False, [], [], [])
-        names = ["_us", "_leaves", "_site"]
-        parts = [pd.DataFrame(dict(zip(names, map(list, held)))).astype({"_us": "int64", "_leaves": bool, "_site": object})]
-        if not state.hasTimedOut:
-            parts += [chunk[names].astype({"_us": "int64", "_leaves": bool}) for chunk in chunks]
-        rows = pd.concat(parts, ignore_index=True)
-        rows = rows.iloc[np.lexsort((rows["_site"].fillna("").to_numpy(dtype=str), ~rows["_leaves"], rows["_us"]))]
+        rows = _with_kept(state.get[0] if state.exists else None, chunks, types, state)
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = rows[rows["_us"] < mark]
-        rest = rows.iloc[len(ready) :]
+        is_ready = rows["_open"] | (rows["_us"] < mark)
+        ready, rest = rows[is_ready], rows[~is_ready]
+        # An open stay comes before all moves of its subject.
+        who = pd.factorize(ready["_subject"])[0]
+        order = np.lexsort((ready["_site"].fillna("").to_numpy(dtype=str), ~ready["_leaves"], ready["_us"], ~ready["_open"], who))
+        ready, who = ready.iloc[order], who[order]
         gone = ready["_leaves"].to_numpy()
-        is_open = np.concatenate(([bool(begun)], ~gone))[: len(gone)]  # before each row
-        opens = ready[~gone & ~is_open]
-        starts = np.concatenate((np.array(begun, dtype=np.int64), opens["_us"].to_numpy()))
-        sites = [*begun_site, *opens["_site"].tolist()]
-        ends = ready["_us"].to_numpy()[gone & is_open]
-        stayed = np.append(ends, np.full(len(starts) - len(ends), mark - 1)) - starts
-        long = np.flatnonzero(stayed > limit)
-        late = long[1:] if raised and len(long) and long[0] == 0 else long
-        done = long[long < len(ends)]
+        follows = np.concatenate(([False], (who[1:] == who[:-1]) & ~gone[:-1]))[: len(gone)]  # open before each row
+        opens, ends = ~gone & ~follows, gone & follows
+        stays = ready[opens]
+        starts, raised = stays["_us"].to_numpy(), stays["_raised"].to_numpy()
+        until, ended = np.full(len(starts), mark - 1), np.zeros(len(starts), dtype=bool)
+        which = (np.cumsum(opens) - 1)[ends]
+        until[which], ended[which] = ready["_us"].to_numpy()[ends], True
+        stayed = until - starts
+        late, done = np.flatnonzero((stayed > limit) & ~raised), np.flatnonzero((stayed > limit) & ended)
+        both = stays.iloc[np.concatenate((late, done))]
         yield pd.DataFrame({
-            "subject": key[0], "site": [sites[i] for i in (*late, *done)], "rule": ["overdue"] * len(late) + ["dwell_breach"] * len(done),
-            "raised_us": np.concatenate((starts[late] + limit, ends[done])), "measure": np.concatenate((np.full(len(late), float(minutes)), stayed[done] / 60e6)),
+            "subject": both["_subject"].to_numpy(), "site": both["_site"].to_numpy(), "rule": ["overdue"] * len(late) + ["dwell_breach"] * len(done),
+            "raised_us": np.concatenate((starts[late] + limit, until[done])), "measure": np.concatenate((np.full(len(late), float(minutes)), stayed[done] / 60e6)),
         })
-        still = len(starts) > len(ends)
-        if not still and not len(rest):
+        still = stays[~ended].assign(_open=True, _raised=(raised | (stayed > limit))[~ended])
+        if not len(still) and not len(rest):
             state.remove()
             return
-        raised = bool(still and stayed[-1] > limit)
-        state.update((starts[-1:].tolist() if still else [], sites[-1:] if still else [], raised, *(rest[n].tolist() for n in names)))
-        wake = [*rest["_us"].iloc[:1].tolist(), *([int(starts[-1]) + limit + 1] if still and not raised else [])]
+        state.update((_kept(pd.concat([part for part in (still, rest) if len(part)], ignore_index=True)),))
+        waits = still.loc[~still["_raised"], "_us"] + (limit + 1)
+        wake = [int(times.min()) for times in (rest["_us"], waits) if len(times)]
         if wake:
             _wake_at(state, min(wake))
 
-    return timed.groupBy("_subject").applyInPandasWithState(
-        step, ALERT, "begun array<bigint>, begun_site array<string>, raised boolean, us array<bigint>, leaves array<boolean>, site array<string>",
-        "append", GroupStateTimeout.EventTimeTimeout,
+    return timed.groupBy("_bucket").applyInPandasWithState(
+        step, ALERT, "kept binary", "append", GroupStateTimeout.EventTimeTimeout,
     ).select("subject", F.col("site").cast(moves.schema[site].dataType).alias("site"), "rule", F.timestamp_micros("raised_us").alias("raised_at"), "measure")
 
 
@@ -177,6 +200,16 @@ def quarantine_writer(root: str, at: str, *, delay: str):
 
 
 TOUCH_WINDOW = 7 * 86_400 * 1_000_000  # microseconds
+OUTPUT_ROWS = 100_000  # rows that a state function hands over at a time
+
+
+def _matched(touches: pd.DataFrame, bought: pd.DataFrame, by: Sequence[str] = ()) -> pd.DataFrame:
+    """Purchases (at, id) with the newest touch (at, id) of the window before them, per value of ``by``; ties go to the larger id."""
+    return pd.merge_asof(
+        bought.rename(columns={"id": "purchase_id"}).astype("int64").sort_values("at"),
+        touches.astype("int64").sort_values(["at", "id"]).rename(columns={"id": "impression_id"}).astype({"impression_id": "Int64"}),
+        on="at", by=list(by) or None, tolerance=TOUCH_WINDOW,
+    )
 
 
 def match_last_touch(known: pd.DataFrame, batch: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -187,10 +220,7 @@ def match_last_touch(known: pd.DataFrame, batch: pd.DataFrame) -> tuple[pd.DataF
     """
     touch = batch["kind"] == "touch"
     touches = pd.concat([known, batch.loc[touch, ["at", "id"]]]).astype("int64").sort_values(["at", "id"])
-    bought = batch.loc[~touch, ["at", "id"]].rename(columns={"id": "purchase_id"}).astype("int64").sort_values("at")
-    matched = pd.merge_asof(
-        bought, touches.rename(columns={"id": "impression_id"}).astype({"impression_id": "Int64"}), on="at", tolerance=TOUCH_WINDOW
-    )
+    matched = _matched(touches, batch.loc[~touch, ["at", "id"]])
     kept = touches[touches["at"] >= touches["at"].max() - 2 * TOUCH_WINDOW] if len(touches) else touches
     return matched, kept
 
@@ -203,77 +233,77 @@ def _wake_at(state: GroupState, micros: int | None) -> None:
         state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
-def last_touch(touches: DataFrame, purchases: DataFrame, *, at: str = "ts", delay: str = "1 day") -> DataFrame:
+def last_touch(touches: DataFrame, purchases: DataFrame, *, at: str = "ts", delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Streaming last touch within seven days, per purchase; equal to the batch form.
 
     Both inputs have match_key, ``at`` (timestamp) and id; they may arrive in any order within
     ``delay``. A purchase waits in the state until the watermark has passed it: only then every
-    touch before it is known. A touch is forgotten once no purchase can need it any more, and a
-    customer with nothing left has no state. Rows later than the watermark are dropped by Spark
-    (``quarantine_writer`` keeps them). To end a stream, send one row under a key of its own with
-    a time beyond ``delay``.
+    touch before it is known. A touch is forgotten once no purchase can need it any more. A state
+    serves the customers of one of ``buckets`` hash values, and one with nothing left is removed.
+    Purchases without a key match nothing and are given out at once. Rows later than the watermark
+    are dropped by Spark (``quarantine_writer`` keeps them). To end a stream, send one row under a
+    key of its own with a time beyond ``delay``.
     """
-    both = touches.select("match_key", at, "id", F.lit("touch").alias("kind")).unionByName(purchases.select("match_key", at, "id", F.lit("purchase").alias("kind")))
-    timed = both.withWatermark(at, delay).withColumn("_us", F.unix_micros(at))
+    both = touches.select("match_key", at, "id", F.lit(True).alias("_touch")).unionByName(purchases.select("match_key", at, "id", F.lit(False).alias("_touch")))
+    timed = both.withWatermark(at, delay).where("match_key IS NOT NULL").select(
+        F.col("match_key").alias("key"), F.unix_micros(at).alias("at"), "id", "_touch", F.pmod(F.xxhash64("match_key"), F.lit(buckets)).alias("_bucket"), F.col(at).alias("_time")
+    )
+    types = {"key": "int64", "at": "int64", "id": "int64", "_touch": "bool"}
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, seen_id, waiting, waiting_id = map(list, state.get) if state.exists else ([], [], [], [])
-        if not state.hasTimedOut:
-            for chunk in chunks:
-                touch = chunk["kind"] == "touch"
-                seen += chunk.loc[touch, "_us"].tolist()
-                seen_id += chunk.loc[touch, "id"].tolist()
-                waiting += chunk.loc[~touch, "_us"].tolist()
-                waiting_id += chunk.loc[~touch, "id"].tolist()
+        rows = _with_kept(state.get[0] if state.exists else None, chunks, types, state)
         mark = state.getCurrentWatermarkMs() * 1000
-        known = pd.DataFrame({"at": seen, "id": seen_id})
-        bought = pd.DataFrame({"at": waiting, "id": waiting_id, "kind": "purchase"})
+        known, bought = (rows[rows["_touch"] == touch] for touch in (True, False))
         ready = bought["at"] < mark
-        matched, _ = match_last_touch(known, bought[ready])
+        matched = _matched(known[["key", "at", "id"]], bought.loc[ready, ["key", "at", "id"]], ["key"])
         bought = bought[~ready]
         # The oldest purchase that can still come, or that waits, looks back one window.
-        needed = min(mark, int(bought["at"].min())) if len(bought) else mark
-        known = known[known["at"] >= needed - TOUCH_WINDOW]
-        state.update(tuple(frame[c].astype("int64").tolist() for frame in (known, bought) for c in ("at", "id")))
-        ends = [int(bought["at"].min())] if len(bought) else [int(known["at"].min()) + TOUCH_WINDOW] if len(known) else []
-        _wake_at(state, ends[0] if ends else None)
-        matched["match_key"] = key[0]
-        yield matched[["match_key", "purchase_id", "impression_id"]]
-
-    return timed.groupBy("match_key").applyInPandasWithState(
-        step, "match_key bigint, purchase_id bigint, impression_id bigint",
-        "at array<bigint>, id array<bigint>, waiting array<bigint>, waiting_id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
+        needed = bought.groupby("key")["at"].min().reindex(known["key"]).fillna(mark).clip(upper=mark)
+        known = known[known["at"].to_numpy() >= needed.to_numpy() - TOUCH_WINDOW]
+        if len(bought):
+            ends = int(bought["at"].min())
+        else:
+            ends = int(known["at"].min()) + TOUCH_WINDOW if len(known) else None
+        if len(bought) or len(known):
+            state.update((_kept(pd.concat([part for part in (known, bought) if len(part)], ignore_index=True)),))
+        _wake_at(state, ends)
+        yield matched.rename(columns={"key": "match_key"})[["match_key", "purchase_id", "impression_id"]]
+
+    found = timed.groupBy("_bucket").applyInPandasWithState(
+        step, "match_key bigint, purchase_id bigint, impression_id bigint", "kept binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
+    lone = purchases.where("match_key IS NULL").select("match_key", F.col("id").alias("purchase_id"), F.lit(None).cast("bigint").alias("impression_id"))
+    return found.unionByName(lone)
 
 
 def running_balance(stream: DataFrame, keys: Sequence[str], *, at: str, tie: str, opening: int, delay: str = "1 day") -> DataFrame:
     """Balance after each movement, in the order of (``at``, ``tie``), whatever the order of arrival.
 
     The state of a key is the balance of all movements behind the watermark and the movements
-    before it, which are given out, sorted, only once the watermark has passed them. ``tie`` is a
-    bigint. Movements later than the watermark are dropped by Spark, never added at a wrong place.
+    before it, in one binary value, which are given out, sorted, only once the watermark has passed
+    them. ``tie`` is a bigint. Movements later than the watermark are dropped by Spark, never added
+    at a wrong place.
     """
     names = [*keys, at, tie, "quantity"]
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     output = ", ".join(f"{n} {fields[n]}" for n in [*keys, tie]) + ", quantity bigint, _us bigint, balance bigint"
+    types = dict.fromkeys(("_us", tie, "quantity"), "int64")
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        balance, *held = state.get if state.exists else (opening, [], [], [])
-        parts = [pd.DataFrame(dict(zip(("_us", tie, "quantity"), map(list, held))), dtype="int64")]
-        if not state.hasTimedOut:
-            parts += [chunk[["_us", tie, "quantity"]].astype("int64") for chunk in chunks]
-        rows = pd.concat(parts, ignore_index=True).sort_values(["_us", tie], kind="stable", ignore_index=True)
-        ready = int((rows["_us"] < state.getCurrentWatermarkMs() * 1000).sum())
-        out, rest = rows.iloc[:ready].copy(), rows.iloc[ready:]
+        balance, kept = state.get if state.exists else (opening, None)
+        rows = _with_kept(kept, chunks, types, state)
+        ready = rows["_us"] < state.getCurrentWatermarkMs() * 1000
+        out, rest = rows[ready].sort_values(["_us", tie], kind="stable"), rows[~ready]
         out["balance"] = balance + out["quantity"].cumsum()
-        state.update((int(out["balance"].iloc[-1]) if ready else balance, *(rest[c].tolist() for c in ("_us", tie, "quantity"))))
+        state.update((int(out["balance"].iloc[-1]) if len(out) else balance, _kept(rest) if len(rest) else None))
         if len(rest):
-            _wake_at(state, int(rest["_us"].iloc[0]))
+            _wake_at(state, int(rest["_us"].min()))
         for name, value in zip(keys, key):
             out[name] = value
-        yield out[[*keys, tie, "quantity", "_us", "balance"]]
+        for first in range(0, len(out), OUTPUT_ROWS):
+            yield out.iloc[first : first + OUTPUT_ROWS][[*keys, tie, "quantity", "_us", "balance"]]
 
     timed = stream.select(*names).withWatermark(at, delay).withColumn("_us", F.unix_micros(at))
     return timed.groupBy(*keys).applyInPandasWithState(
-        step, output, "balance bigint, _us array<bigint>, tie array<bigint>, quantity array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        step, output, "balance bigint, kept binary", "append", GroupStateTimeout.EventTimeTimeout
     ).select(*keys, F.timestamp_micros("_us").alias(at), tie, "quantity", "balance")

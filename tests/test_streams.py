@@ -130,3 +130,41 @@ def test_stays_over_batches(spark):
         ("a", 1, "overdue", at(390), 90.0), ("a", 1, "dwell_breach", at(3000), 2700.0),
         ("d", 4, "overdue", at(95), 90.0), ("e", 0, "overdue", at(90), 90.0), ("e", 0, "dwell_breach", at(2000), 2000.0),
     ])
+
+
+def many_files(spark):
+    """Events in twelve partitions, so that each load is written as twelve files; some have no user."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    n, kinds = F.col("id"), F.array(*map(F.lit, ("view", "click", "purchase", "error")))
+    rows = spark.range(600).repartition(12).select(
+        n.alias("event_id"), (F.lit(HOUR(0)) + F.make_dt_interval(F.lit(0), n % 97, n % 7)).alias("ts"),
+        F.when(n % 11 > 0, n % 23).alias("user_id"), kinds[F.pmod(F.hash("id"), F.lit(4))].alias("event_type"), F.lit(5.0).alias("value"), (n % 9).alias("k"),
+    )
+    return SimpleNamespace(spark=spark, keyed_events=rows)
+
+
+@pytest.fixture
+def batches(spark, monkeypatch):
+    """The tables that streams wrote, as lists of their batch folders."""
+    from aisleworks.streaming import runs
+
+    tables, drain = set(), runs.drain
+    monkeypatch.setattr(runs, "drain", lambda *a, **kw: tables.add(table := drain(*a, **kw)) or table)
+    yield lambda: [[f for f in __import__("os").listdir(t) if f.startswith("batch_id=")] for t in tables]
+
+
+def test_attribution_batches_do_not_grow_with_files(spark, batches):
+    from aisleworks.plans import bound_m_streams
+
+    t = many_files(spark)
+    got = {r.purchase_id: (r.match_key, r.impression_id) for r in bound_m_streams.stream_attribution(t).collect()}
+    rows = t.keyed_events.collect()
+    want = {}
+    for p in (r for r in rows if r.event_type == "purchase"):
+        touches = [(r.ts, r.event_id) for r in rows if r.event_type in ("view", "click") and r.user_id is not None and r.user_id == p.user_id and p.ts - dt.timedelta(days=7) <= r.ts <= p.ts]
+        want[p.event_id] = (p.user_id, max(touches)[1] if touches else None)
+    assert got == want
+    assert [len(b) <= 2 * (bound_m_streams.PARTS + 1) for b in batches()] == [True]
