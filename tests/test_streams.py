@@ -168,3 +168,17 @@ def test_attribution_batches_do_not_grow_with_files(spark, batches):
         want[p.event_id] = (p.user_id, max(touches)[1] if touches else None)
     assert got == want
     assert [len(b) <= 2 * (bound_m_streams.PARTS + 1) for b in batches()] == [True]
+
+
+def test_balances_of_rows_without_store_and_batches(spark, batches):
+    from aisleworks.plans import bound_m_streams
+
+    t = many_files(spark)
+    got = {r.event_id: (r.store_id, r.balance) for r in bound_m_streams.stream_running_balance(t).collect()}
+    balance, want = {}, {}
+    for r in sorted(t.keyed_events.collect(), key=lambda r: (r.ts, r.event_id)):
+        store = None if r.user_id is None else r.user_id % 10
+        balance[store] = balance.get(store, 20) + (-(r.k % 5) if r.event_type == "purchase" else r.k % 3)
+        want[r.event_id] = (store, balance[store])
+    assert got == want
+    assert [len(b) <= 2 * (bound_m_streams.PARTS + 1) for b in batches()] == [True]
