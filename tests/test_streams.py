@@ -182,3 +182,12 @@ def test_balances_of_rows_without_store_and_batches(spark, batches):
         want[r.event_id] = (store, balance[store])
     assert got == want
     assert [len(b) <= 2 * (bound_m_streams.PARTS + 1) for b in batches()] == [True]
+
+
+def test_alert_batches_do_not_grow_with_files(spark, batches):
+    from aisleworks.plans import bound_m_streams
+
+    t = many_files(spark)
+    got = [r for r in bound_m_streams.stream_alerts(t).collect() if r.rule == "stockout"]
+    assert sorted(r.subject for r in got) == sorted(str(r.event_id) for r in t.keyed_events.collect() if r.event_type == "error")
+    assert [len(b) <= 2 * (bound_m_streams.PARTS + 1) for b in batches()] == [True]
