@@ -1,9 +1,11 @@
-"""Near copies among whole documents: MinHash candidates, exact Jaccard of five-word shingles.
-
-At a Jaccard similarity of 0.8 two 64-bit SimHashes differ in about ten bits and often in more.
-Within that radius segment counts no longer tell documents apart, so the two-bit grid of
-``simhash.py`` cannot be widened; candidates come from the MinHash bands of ``paragraphs.py``
-(probability 0.998 at 0.8), over the words of the whole document. The links are exact.
+"""Near copies among whole documents: SimHash and MinHash candidates, exact Jaccard of five-word shingles.
+
+Every text gets the SimHash of ``simhash.py``; texts whose fingerprints its links of at most two
+bits join are candidates. At a Jaccard similarity of 0.8 two 64-bit SimHashes differ in about ten
+bits and often in more, and within that radius segment counts no longer tell documents apart, so
+the two-bit grid cannot be widened. Pairs further apart are found as well: they come from the
+MinHash bands of ``paragraphs.py`` (probability 0.998 at 0.8), over the words of the whole
+document. Candidates of both kinds are checked exactly.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aisleworks.llm import simhash
 from aisleworks.llm.common import SLICE_BYTES, bounded_groups, components, encoded, map_arrow, materialised, slices, text_of
 from aisleworks.llm.paragraphs import BANDS, BLOCK, SIMILARITY, WORDS, bands, set_forest, shingles
 
 
 def documents(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """Every row: id, h (hash of the normalised text), bands and body; without words no bands."""
+    """Every row: id, h (hash of the normalised text), fp (its SimHash), bands and body; without words no bands."""
     schema = T.StructType([
         T.StructField("_id", docs.schema[id_column].dataType), T.StructField("h", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType()),
+        T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("body", T.BinaryType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +40,7 @@ def documents(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS) ->
             keys = bands(*shingles(full, words)).view(np.int64).ravel() if full else np.zeros(0, dtype=np.int64)
             ends = np.concatenate(([0], np.cumsum([BANDS if b else 0 for b in body])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([xxhash.xxh3_128_digest(b) for b in body], pa.binary()),
+                [batch.column("_id"), pa.array([xxhash.xxh3_128_digest(b) for b in body], pa.binary()), pa.array([simhash.fingerprint(b) for b in body], pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.array(body, pa.binary())],
                 names=[f.name for f in schema],
             )
@@ -83,6 +86,14 @@ def links(candidates: DataFrame, similarity: float = SIMILARITY, words: int = WO
     return map_arrow(groups.select("members"), run, "a long, b long")
 
 
+def print_buckets(classes: DataFrame) -> DataFrame:
+    """(member, bucket): members (member, fp) whose fingerprints links of at most two bits join share a bucket."""
+    prints = materialised(classes.groupBy("fp").agg(F.min("member").alias("rep")), "fingerprint-classes")
+    reached = components(simhash.links(prints, "rep"))
+    joined = prints.join(reached, prints["rep"] == reached["node"], "left").select("fp", F.coalesce("component", "rep").alias("_root"))
+    return classes.join(joined, "fp").select("member", F.xxhash64(F.lit("simhash"), "_root").alias("bucket"))
+
+
 def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """The smallest id of every group that links of at least ``similarity`` join, once each.
 
@@ -91,12 +102,13 @@ def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SI
     """
     found = materialised(documents(docs, id_column, words).withColumn("_row", F.monotonically_increasing_id()), "documents")
     # One row stands for all documents with the same words; its number names the class.
-    classes = materialised(found.groupBy("h").agg(F.min("_row").alias("member"), F.min("_id").alias("first")), "document-classes").select("member", "first")
+    classes = materialised(found.groupBy("h").agg(F.min("_row").alias("member"), F.min("_id").alias("first"), F.first("fp").alias("fp")), "document-classes").select("member", "first", "fp")
     banded = found.select(F.col("_row").alias("member"), "bands").join(classes.select("member").hint("merge"), "member", "left_semi")
-    banded = materialised(banded.select("member", F.explode("bands").alias("bucket")), "document-bands")
+    banded = banded.select("member", F.explode("bands").alias("bucket")).unionByName(print_buckets(classes.select("member", "fp")))
+    banded = materialised(banded, "document-bands")
     several = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     met = materialised(banded.join(several.hint("merge"), "bucket"), "bucket-members")
-    # Bands with the same members are one bucket.
+    # Buckets with the same members are one.
     name = F.xxhash64("member")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("s"))
     alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")

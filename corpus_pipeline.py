@@ -27,8 +27,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies.
 
-    Near copies have a Jaccard similarity of at least 0.8 in shingles of five words. Rows that
-    repeat that id stay: an id is one document.
+    Near copies have a Jaccard similarity of at least 0.8 in shingles of five words; candidates have
+    SimHashes that links of two bits join, or share a MinHash band. Rows that repeat that id stay:
+    an id is one document.
     """
     (name,) = unused(docs, "first")
     first = near_copies.first_ids(docs).withColumnRenamed("doc_id", name)
@@ -69,7 +70,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Classifier, MinHash and tokens cannot be stated in SQL; tests compare each stage with brute force.
+#: Classifier, SimHash, MinHash and tokens cannot be stated in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -248,6 +248,22 @@ def test_edited_copies_go(spark):
     assert sorted(kept) == sorted(linked_documents(rows))
 
 
+def test_near_copies_come_from_simhash(spark, monkeypatch):
+    """Without any MinHash candidate the pairs that SimHash links, and only those alike, still go."""
+    from aisleworks.llm import near_copies as operator
+
+    drawn = np.random.default_rng(1)
+    monkeypatch.setattr(operator, "bands", lambda hashes, edges: drawn.integers(0, 1 << 62, (len(edges) - 1, operator.BANDS), dtype=np.uint64))
+    long = words(3000, 5)
+    edited = [*long[:1500], "edit", *long[1501:]]
+    # The same line over and over gives one fingerprint, whatever follows in a few words: alike in bits only.
+    line = words(9, 6) * 60
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(words(300, 7))), (4, " ".join([*line, *words(30, 8)])), (5, " ".join([*line, *words(30, 9)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4, 5] == sorted(linked_documents(rows))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
