@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from aisleworks.operators import gold, pricing, ranges
 from aisleworks.plans.registry import query
+from aisleworks.session import written
 
 OLS_SQL = """
 daily0 AS (SELECT product_id, event_date, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(unit_cents) AS DOUBLE) / count(*) / 100.0 AS price, sum(ext_cents) AS revenue FROM v_lines GROUP BY 1, 2),
@@ -68,15 +69,15 @@ m AS (SELECT f.*, promo_quantity, promo_cents, promo_days, coalesce(baseline_qua
 lift AS (SELECT *, CASE WHEN bq > 0 THEN (pq - bq) / bq * 100 END AS l, CASE WHEN bq > 0 THEN (aq - bq) / bq * 100 END AS pl FROM m)"""
 
 
-def lift_inputs(t):
+def lift_inputs(t, *measures):
+    """Sale lines by brand, joined once and written, and their promoted lines with episodes."""
     brand = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
     pct = F.substring("promo_code", 4, 2)
     sales = t.lines.where("line_type = 'SALE'").join(brand, "product_id").select(
-        "store_id", F.col("brand").alias("product_id"), "event_date", "receipt_id", "quantity", "ext_cents",
-        "promo_code", pct.cast("double").alias("discount_pct"),
+        "store_id", F.col("brand").alias("product_id"), "event_date", "receipt_id", *measures, "promo_code",
     )
-    bounds = sales.groupBy("store_id").agg(F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"))
-    return sales, pricing.episode_windows(sales.where("promo_code IS NOT NULL"), bounds, gap_days=7, window_days=30)
+    sales = written(sales, "lift-sales").withColumn("discount_pct", pct.cast("double"))
+    return sales, pricing.promoted_lines(sales, gap_days=7, window_days=30)
 
 
 @query("promotion_lift", f"""WITH {LIFT_SQL}
@@ -84,9 +85,9 @@ SELECT store_id, promo_code, episode, product_id, start_date, end_date, promoted
   round(bq, 6) AS baseline_daily_quantity, round(pq, 6) AS promo_daily_quantity, round(aq, 6) AS post_daily_quantity, round(l, 6) AS observed_promo_lift_pct, round(pl, 6) AS observed_post_period_change_pct, round(l + pl, 6) AS observed_net_change_pct,
   CASE WHEN l > 50 THEN 'MUCH_HIGHER_DURING_PROMOTION' WHEN l > 20 THEN 'HIGHER_DURING_PROMOTION' WHEN l > 0 THEN 'SLIGHTLY_HIGHER_DURING_PROMOTION' ELSE 'NOT_HIGHER_DURING_PROMOTION' END AS observed_lift_category FROM lift""")
 def promotion_lift(t):
-    sales, episodes = lift_inputs(t)
+    sales, promoted = lift_inputs(t, "quantity", "ext_cents")
     numbers = ["avg_discount_pct", "baseline_daily_quantity", "promo_daily_quantity", "post_daily_quantity", "observed_promo_lift_pct", "observed_post_period_change_pct", "observed_net_change_pct"]
-    return pricing.promotion_lift(sales, episodes, window_days=30).select(
+    return pricing.promotion_lift(sales, promoted, window_days=30).select(
         "store_id", "promo_code", "episode", "product_id", "start_date", "end_date", "promoted_receipts", "promoted_lines", "baseline_days", "promo_days", "post_days",
         "promo_quantity", "promo_cents", *[F.round(c, 6).alias(c) for c in numbers], "observed_lift_category",
     )
@@ -94,13 +95,7 @@ def promotion_lift(t):
 
 @query("calendar_window_sales", f"WITH {LIFT_SQL} SELECT store_id, promo_code, episode, product_id, baseline_quantity, baseline_days FROM m WHERE baseline_days > 0")
 def calendar_window_sales(t):
-    sales, episodes = lift_inputs(t)
-    keys = ["store_id", "promo_code", "episode", "product_id"]
-    found = sales.where("promo_code IS NOT NULL").join(episodes, ["store_id", "promo_code", "event_date"]).select(*keys, "start_date").distinct()
-    daily_keys = ["store_id", "product_id", "event_date"]
-    daily = sales.groupBy(*daily_keys).agg(F.sum("quantity").alias("quantity"), F.sum("ext_cents").alias("ext_cents"))
-    skip = sales.where("promo_code IS NOT NULL").select(*daily_keys).distinct()
-    return pricing.calendar_sales(found, keys, F.date_sub("start_date", 30), F.date_sub("start_date", 1), daily, daily_keys, skip=skip, prefix="baseline").drop("baseline_cents")
+    return pricing.baseline_sales(*lift_inputs(t, "quantity"), window_days=30)
 
 
 PRICE_SQL = f"""WITH {OLS_SQL}, newest AS (SELECT max(event_date) AS d FROM v_lines),

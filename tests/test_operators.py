@@ -206,3 +206,15 @@ def test_segment_labels_by_thirds(spark):
     got = models.segment_labels(df, recency="recency", frequency="frequency", monetary="monetary")
     assert {(r.cluster_id, r.segment_label) for r in got.collect()} == {(0, "Champions"), (1, "Potential Loyalists"), (2, "Lost"), (3, "New Customers")}
     assert got.count() == len(rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_baseline_windows_unroll_no_calendar(spark):
+    """The days around an episode come from range frames: nothing is exploded, lines are shuffled a few times."""
+    import __spark_entry__ as entry
+
+    plan = plan_of(entry.queries()["calendar_window_sales"](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 8
