@@ -218,3 +218,10 @@ def test_baseline_windows_unroll_no_calendar(spark):
 
     plan = plan_of(entry.queries()["calendar_window_sales"](spark, "/root/testdata/sf0.001"))
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_promotion_lift_sends_no_probes(spark):
+    import __spark_entry__ as entry
+
+    plan = plan_of(entry.queries()["promotion_lift"](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in plan and "_row" not in plan and plan.count("Exchange hashpartitioning") <= 8
