@@ -285,13 +285,19 @@ def forecast(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def stockout_risk(df: DataFrame, as_of: Column) -> DataFrame:
-    grain = F.struct("store_id", "product_id", "forecast_horizon_days")
+    """Rows are summed per store, product and horizon first; distinct counts are then plain ones."""
+    means = ["stockout_probability", "days_of_inventory", "demand_velocity_daily"]
+    grains = df.groupBy("store_id", "product_id", "forecast_horizon_days").agg(
+        F.max(F.when(F.col("risk_level") == "HIGH", 1)).alias("_high"), F.max("inventory_as_of").alias("inventory_as_of"),
+        *[f(c).alias(f"_{n}_{c}") for c in means for n, f in (("sum", F.sum), ("count", F.count))],
+    )
+    mean = lambda c: F.round(F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_count_{c}")), 6)
     return measures(
-        df, [],
+        grains, [],
         {
-            "risk_sku_count": F.countDistinct(grain), "high_risk_skus": F.countDistinct(F.when(F.col("risk_level") == "HIGH", grain)),
-            "avg_stockout_probability": F.round(F.avg("stockout_probability"), 6), "avg_days_of_inventory": F.round(F.avg("days_of_inventory"), 6),
-            "avg_demand_velocity": F.round(F.avg("demand_velocity_daily"), 6), "data_as_of": F.max("inventory_as_of"),
+            "risk_sku_count": rows(), "high_risk_skus": F.count("_high"),
+            "avg_stockout_probability": mean("stockout_probability"), "avg_days_of_inventory": mean("days_of_inventory"),
+            "avg_demand_velocity": mean("demand_velocity_daily"), "data_as_of": F.max("inventory_as_of"),
         },
         {"freshness_hours": hours_between(F.col("data_as_of"), as_of)},
     )

@@ -28,7 +28,7 @@ from aisleworks.session import hot_key_rows, written
 
 SLICE, HOT = "_slice", "_hot"
 MAX_HOT_KEYS = 50_000
-ROWS_PER_TASK = 500_000  # rows of hot keys that one task sorts, where the limit is smaller
+ROWS_PER_TASK = 500_000  # rows that one task sorts (of hot keys, where the limit is smaller) or groups
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,16 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str], at: str | None = None) ->
     return HotKeys(tuple(keys), spans.drop("_n") if rows else None, limit, rows or 0)
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` on as many tasks by ``keys`` as its rows ask for, so that what one task groups is bounded.
+
+    For keys about as many as rows, where a combine before the shuffle only fills memory. Counts the
+    rows first; a plain scan takes that from the footers.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS_PER_TASK)), *keys)
+
+
 def in_slices(df: DataFrame, order: Sequence[str], limit: int, tasks: int | None = None, name: str = SLICE) -> DataFrame:
     """``df`` sorted on ``order`` over all tasks and written, with slice numbers that rise with it.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from aisleworks.operators import gold, kpi
+from aisleworks.operators.ordered import dealt
 from aisleworks.plans.bound_d_attribution import PERFORMANCE_TAIL, campaign_performance_daily, labelled
 from aisleworks.plans.bound_f_windows import PLAN_SQL, plan
 from aisleworks.plans.registry import query
@@ -283,7 +284,8 @@ WITH d AS (SELECT store_id, product_id, CAST(sum(quantity) AS DOUBLE) AS u, max(
 SELECT round(sum(u), 4) AS forecasted_units, round(sum(u * 0.8::DOUBLE), 4) AS lower_bound, round(sum(u * 1.2::DOUBLE), 4) AS upper_bound, round(avg(1.0::DOUBLE / (n + 1)), 6) AS forecast_mape, max(g) AS data_as_of,
   CAST(floor(epoch((SELECT max(ts) FROM events)) / 3600) - floor(epoch(max(g)) / 3600) AS BIGINT) AS freshness_hours FROM d""")
 def kpi_forecast(t):
-    units = t.lines.groupBy("store_id", "product_id").agg(
+    keys = ["store_id", "product_id"]
+    units = dealt(t.lines.select(*keys, "quantity", "event_ts"), keys).groupBy(*keys).agg(
         F.sum("quantity").cast("double").alias("predicted_units"), F.max("event_ts").alias("generated_at"), (1.0 / (kpi.rows() + 1)).alias("mape")
     )
     return kpi.forecast(
@@ -297,7 +299,8 @@ SELECT count(*) AS risk_sku_count, count(*) FILTER (WHERE p >= 0.7) AS high_risk
   CAST(floor(epoch((SELECT max(ts) FROM events)) / 3600) - floor(epoch(max(g)) / 3600) AS BIGINT) AS freshness_hours FROM d""")
 def kpi_stockout_risk(t):
     p = (F.col("product_id") % 100) / F.lit(100.0)
-    risk = t.lines.groupBy("store_id", "product_id").agg(
+    keys = ["store_id", "product_id"]
+    risk = dealt(t.lines.select(*keys, "quantity", "event_ts"), keys).groupBy(*keys).agg(
         (F.sum("quantity") / F.lit(30)).alias("demand_velocity_daily"), F.max("event_ts").alias("inventory_as_of")
     ).withColumns({
         "stockout_probability": p, "risk_level": F.when(p >= 0.7, "HIGH").otherwise("LOW"), "forecast_horizon_days": F.lit(3),

@@ -225,3 +225,26 @@ def test_promotion_lift_sends_no_probes(spark):
 
     plan = plan_of(entry.queries()["promotion_lift"](spark, "/root/testdata/sf0.001"))
     assert "Generate" not in plan and "_row" not in plan and plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_stockout_risk_counts_grains_without_expanding_rows(spark):
+    from pyspark.sql import functions as F
+
+    from aisleworks.operators import kpi
+
+    rows = [(1, 1, 3, "HIGH", 0.9, 2.0, 1.0), (1, 1, 3, "LOW", 0.3, 4.0, None), (1, 2, 3, "LOW", 0.1, 6.0, 3.0), (None, 2, 3, "HIGH", 0.7, 8.0, 5.0), (None, 2, 3, "HIGH", 0.7, 8.0, 5.0)]
+    df = spark.createDataFrame(rows, "store_id int, product_id int, forecast_horizon_days int, risk_level string, stockout_probability double, days_of_inventory double, demand_velocity_daily double")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    out = kpi.stockout_risk(df.withColumn("inventory_as_of", at), at)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    (got,) = out.collect()
+    assert (got.risk_sku_count, got.high_risk_skus, got.avg_stockout_probability, got.avg_days_of_inventory, got.avg_demand_velocity) == (3, 2, 0.54, 5.6, 3.5)
+
+
+def test_dealt_rows_bound_what_a_task_groups(spark, monkeypatch):
+    from aisleworks.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    df = ordered.dealt(spark.range(500).selectExpr("id % 400 AS k", "id"), ["k"])
+    assert df.rdd.getNumPartitions() == 50
+    assert sorted(r["n"] for r in df.groupBy("k").agg({"id": "count"}).toDF("k", "n").collect()) == [1] * 300 + [2] * 100
