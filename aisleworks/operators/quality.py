@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aisleworks.operators.ordered import dealt
+
 
 def row_checks(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Violations of any number of row conditions in one pass; NULL counts as no violation."""
@@ -83,7 +85,8 @@ def forecast_checks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             "source after generation": c("source_as_of") > c("generated_at"),
         },
     )
-    per_key = df.withColumn("_step", F.datediff("forecast_date", F.to_date("source_as_of"))).groupBy(*keys).agg(
+    steps = df.select(*keys, "forecast_date", "forecast_horizon_days", F.datediff("forecast_date", F.to_date("source_as_of")).alias("_step"))
+    per_key = dealt(steps, keys).groupBy(*keys).agg(
         F.countDistinct("forecast_date").alias("_dates"), F.min("_step").alias("_lo"), F.max("_step").alias("_hi"),
         F.min("forecast_horizon_days").alias("_hmin"), F.max("forecast_horizon_days").alias("_hmax"),
     )

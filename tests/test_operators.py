@@ -248,3 +248,17 @@ def test_dealt_rows_bound_what_a_task_groups(spark, monkeypatch):
     df = ordered.dealt(spark.range(500).selectExpr("id % 400 AS k", "id"), ["k"])
     assert df.rdd.getNumPartitions() == 50
     assert sorted(r["n"] for r in df.groupBy("k").agg({"id": "count"}).toDF("k", "n").collect()) == [1] * 300 + [2] * 100
+
+
+def test_forecast_keys_are_grouped_on_tasks_by_rows(spark, monkeypatch):
+    import datetime as dt
+
+    from aisleworks.operators import ordered, quality
+
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 10)
+    day = dt.date(2024, 1, 1)
+    rows = [(k, day + dt.timedelta(days=s), day, day, 14, 1.0, 0.5, 2.0, 0.1) for k in range(20) for s in range(1, 15) if (k, s) != (3, 7)]
+    df = spark.createDataFrame(rows, "k int, forecast_date date, source_as_of date, generated_at date, forecast_horizon_days int, predicted_units double, lower_bound double, upper_bound double, mape double")
+    out = quality.forecast_checks(df, ["k"])
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["check"]: r["violations"] for r in out.collect() if r["violations"]} == {"incomplete horizon": 1}
