@@ -25,6 +25,19 @@ def materialised(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables (from ``materialised``) that nothing reads any more.
+
+    Only for tables whose readers are written themselves: then no lineage leads back to them.
+    """
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if "/aisleworks/" not in folder:
+                raise ValueError(f"{folder} is no scratch table")
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scan_settings(df: DataFrame) -> DataFrame:
     """Bound the Arrow batches by bytes, so that very long texts do not pile up in one batch."""
     df.sparkSession.conf.set(_ARROW_BYTES, str(16 << 20))
@@ -170,7 +183,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, component) for every node with an edge.
 
     ``component`` is the smallest node reachable. Alternates large-star and small-star steps;
-    every round is a written table, so nothing is collected and a lost executor costs one round.
+    every round is a written table, so nothing is collected and a lost executor costs one round;
+    the table of the round before goes.
     """
     now = materialised(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
@@ -185,7 +199,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(smallest.withColumnRenamed("m", "v")).where("u <> v").distinct()
         )
-        now = materialised(small, "edges")
+        before, now = now, materialised(small, "edges")
+        discard(before)
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen or mark[0] == 0:
             break

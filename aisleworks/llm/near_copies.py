@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import simhash
-from aisleworks.llm.common import SLICE_BYTES, bounded_groups, components, encoded, map_arrow, materialised, slices, text_of
+from aisleworks.llm.common import SLICE_BYTES, bounded_groups, components, discard, encoded, map_arrow, materialised, slices, text_of
 from aisleworks.llm.paragraphs import BANDS, BLOCK, SIMILARITY, WORDS, bands, set_forest, shingles
 
 
@@ -114,6 +114,9 @@ def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SI
     alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     met = met.join(alone, "bucket")
     bodies = found.select(F.col("_row").alias("member"), "body").join(met.select("member").distinct().hint("merge"), "member", "left_semi")
-    reached = components(links(met.join(materialised(bodies, "bodies"), "member"), similarity, words))
+    bodies = materialised(bodies, "bodies")
+    discard(found, banded)
+    reached = components(links(met.join(bodies, "member"), similarity, words))
+    discard(bodies)
     rooted = classes.join(reached, classes["member"] == reached["node"], "left")
     return rooted.groupBy(F.coalesce("component", "member")).agg(F.min("first").alias(id_column)).select(id_column).distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import passages
-from aisleworks.llm.common import bounded_groups, components, encoded, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
+from aisleworks.llm.common import bounded_groups, components, discard, encoded, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
 
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
@@ -198,10 +198,15 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
         found.select("h", "body", F.xxhash64("h").alias("member")).join(met.select("member").distinct().hint("merge"), "member", "left_semi")
         .groupBy("h", "member").agg(F.min("body").alias("body"))
     )
-    met = met.join(materialised(bodies, "bodies"), "member").drop("member")
-    edges = links(met, similarity, words)
+    bodies = materialised(bodies, "bodies")
+    # From here on the places will do: the texts and bands of all paragraphs go.
+    places = materialised(found.select("_id", "text_hash", "paragraph", "n_words", "h"), "paragraph-places")
+    discard(found)
+    edges = links(met.join(bodies, "member").drop("member"), similarity, words)
     reached = components(edges).withColumnRenamed("node", "h")
+    discard(bodies)
     rooted = materialised(classes.drop("bands").join(reached, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component"), "paragraph-roots")
+    discard(classes)
     # Classes without links are clusters by themselves; only linked ones are added up by root.
     linked = rooted.join(reached.select("h"), "h", "left_semi")
     sums = linked.groupBy("root").agg(F.sum("_n").alias("size"), F.min("first").alias("keeper"), F.max("last").alias("end"), F.count(F.lit(1)).alias("_n"))
@@ -211,7 +216,8 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
         rooted.join(reached.select("h"), "h", "left_anti").select("h", "_n", F.col("_n").alias("size"), F.col("first").alias("keeper"), F.col("last").alias("end"))
     ).where("keeper <> end OR (keeper IS NULL) <> (end IS NULL)")
     clusters = materialised(clusters, "clusters")
-    every = attached(found.select("_id", "text_hash", "paragraph", "n_words", "h"), clusters, "h", max(1, found.count()))
+    discard(rooted)
+    every = attached(places, clusters, "h", max(1, places.count()))
     return every.select(
         F.col("_id").alias(id_column), "text_hash", "paragraph", "n_words", F.col("keeper._id").alias("keeper_id"),
         F.col("keeper.paragraph").alias("keeper_paragraph"), F.col("size").alias("cluster_size"), F.struct("_id", "text_hash", "paragraph").eqNullSafe(F.col("keeper")).alias("kept"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisleworks.llm import cotraining, mixing, near_copies, packing, paragraphs
-from aisleworks.llm.common import materialised, unused
+from aisleworks.llm.common import discard, materialised, unused
 from aisleworks.llm.queries import table, vocabulary
 
 
@@ -75,8 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; each result is written and read again, the one before it goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialised(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

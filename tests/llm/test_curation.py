@@ -1,6 +1,7 @@
 """Co-training, paragraph deduplication and the pipeline: brute force, held-out accuracy, edge cases."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -292,6 +293,36 @@ def test_pipeline_stages(spark):
     assert all(n == 2048 for s, n in fill.items() if s != max(fill))
 
 
+def test_stages_leave_no_copies_of_texts_and_units(spark):
+    """What a stage wrote on the way goes as soon as its readers are written; the results stay whole."""
+    from urllib.parse import urlparse
+
+    from aisleworks.llm.common import discard
+    from aisleworks.session import shared_folder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = Path(urlparse(shared_folder(spark)).path) / "aisleworks"
+    before = {p.name for p in folder.glob("*")}
+    kept = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    out = corpus_pipeline.without_repeated_passages(spark, kept, SF)
+    new = {p.name.rsplit("-", 1)[0] for p in folder.glob("*") if p.name not in before}
+    assert not new & {"documents", "document-bands", "bodies", "paragraphs", "paragraph-classes", "paragraph-roots", "units"}
+    assert out.count() == kept.count() > 0
+    with pytest.raises(ValueError):
+        discard(docs)
+    assert docs.count() > 0
+
+
+def test_units_go_on_only_where_their_hash_repeats(spark):
+    """One exchange of hashes and counts before the places are compared."""
+    text = " ".join(words(200, 7))
+    df = spark.createDataFrame([(1, text), (2, "x " + text + " y"), (3, " ".join(words(200, 8))), (4, text), (4, text)], "doc_id long, text string")
+    found = passages.passages(df)
+    (scanned,) = [f for f in found.inputFiles() if "/repeated-units-" in f][:1]
+    assert spark.read.parquet(scanned.rsplit("/", 1)[0]).select("_id").distinct().count() == 3  # of 1, 2 and 4, not of 3
+    assert {(r.doc_id, r.kept, r.keeper_id) for r in found.collect()} == {(1, True, 1), (2, False, 1), (4, False, 1)}
+
+
 def test_pipeline_edges(spark):
     docs = spark.createDataFrame(edge_rows(), COLUMNS)
     for rows in (docs, docs.limit(0)):
