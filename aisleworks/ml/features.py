@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aisleworks.operators.gold import ratio
 from aisleworks.operators.ranges import explode_snapshots, prior_history, snapshot_grid
+from aisleworks.session import written
 
 
 def churn_features(sales: DataFrame, *, first: Column, last: Column, every: int, behind: int) -> DataFrame:
@@ -96,10 +97,16 @@ def stockout_features(daily: DataFrame, keys: Sequence[str], *, horizon: int) ->
 def dwell_features(arrivals: DataFrame, completed: DataFrame) -> DataFrame:
     """Prior average dwell overall, per site and per hour, known strictly before the arrival.
 
-    ``completed`` rows become history when their truck has left.
+    ``completed`` rows become history when their truck has left. Only what differs goes through the
+    ordered pass: history summed by time, site and weekday, and each arrival time of a site once. Its
+    result is written, so that the planner knows its size when the arrivals look their figures up.
     """
-    found = prior_history(
-        arrivals, completed, target_at="arrived", history_at="departed", value="dwell_minutes",
-        groups={"all": [], "site": ["site"], "weekday": ["weekday"]},
-    )
+    keys = ["arrived", "site", "weekday"]
+    history = completed.groupBy("departed", "site", "weekday").agg(F.count("dwell_minutes").alias("_stays"), F.sum("dwell_minutes").alias("dwell_minutes"))
+    known = written(prior_history(
+        arrivals.select(*keys).distinct(), history, target_at="arrived", history_at="departed", value="dwell_minutes",
+        groups={"all": [], "site": ["site"], "weekday": ["weekday"]}, count="_stays",
+    ), "dwell-history")
+    same = [arrivals[c].eqNullSafe(known[c]) for c in keys]
+    found = arrivals.join(known, same).select(*[arrivals[c] for c in arrivals.columns], *[known[c] for c in known.columns if c not in keys])
     return found.select("*", *[ratio(F.col(f"{p}_sum"), F.col(f"{p}_count")).alias(f"{p}_mean") for p in ("all", "site", "weekday")])

@@ -109,10 +109,12 @@ def open_span(
 
 def prior_history(
     targets: DataFrame, history: DataFrame, *, target_at: str, history_at: str, value: str,
-    groups: dict[str, Sequence[str]],
+    groups: dict[str, Sequence[str]], count: str | None = None,
 ) -> DataFrame:
     """Per target the count and sum of ``value`` over history strictly before it.
 
+    ``count`` names the number of rows that a history row stands for, where rows were summed up.
+
     ``groups`` maps an output prefix to the columns both sides must share (none for the
     global history; NULL group values pair with each other). The union of both sides is sorted
     by time once and cut into slices of at most ``spark.aisleworks.hotKeyRows`` rows, whatever
@@ -122,16 +124,17 @@ def prior_history(
     exchange by slice. History without a time counts for nobody, targets without one have none.
     """
     shared = sorted({c for cols in groups.values() for c in cols})
+    each = F.when(F.col(value).isNotNull(), F.col(count) if count else F.lit(1)).cast("bigint")
     both = targets.select(
         F.col(target_at).alias("_t"), F.lit(0).alias("_kind"), *shared, F.struct(*targets.columns).alias("_row")
     ).unionByName(
-        history.where(F.col(history_at).isNotNull()).select(F.col(history_at).alias("_t"), F.lit(1).alias("_kind"), *shared, F.col(value).alias("_v")),
+        history.where(F.col(history_at).isNotNull()).select(F.col(history_at).alias("_t"), F.lit(1).alias("_kind"), *shared, F.col(value).alias("_v"), each.alias("_c")),
         allowMissingColumns=True,
     )
     rows = in_slices(both, ["_t", "_kind"], hot_key_rows(targets.sparkSession))
     body = rows
     for prefix, cols in groups.items():
-        sums = rows.groupBy(SLICE, *cols).agg(F.count("_v").alias("_n"), F.sum("_v").alias("_s"))
+        sums = rows.groupBy(SLICE, *cols).agg(F.sum("_c").alias("_n"), F.sum("_v").alias("_s"))
         before = Window.partitionBy(*cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         body = body.unionByName(
             sums.select(SLICE, F.lit(-1).alias("_kind"), *cols, F.sum("_n").over(before).alias(f"_n_{prefix}"), F.sum("_s").over(before).alias(f"_s_{prefix}")),
@@ -142,9 +145,8 @@ def prior_history(
     added = []
     for prefix, cols in groups.items():
         w = Window.partitionBy(SLICE, *cols).orderBy(F.col("_kind") >= 0, "_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        own = F.when(F.col("_v").isNotNull(), F.lit(1).cast("bigint"))
         added += [
-            F.sum(F.coalesce(f"_n_{prefix}", own, zero)).over(w).alias(f"{prefix}_count"),
+            F.sum(F.coalesce(f"_n_{prefix}", "_c", zero)).over(w).alias(f"{prefix}_count"),
             F.sum(F.coalesce(f"_s_{prefix}", "_v", zero)).over(w).alias(f"{prefix}_sum"),
         ]
     return body.select("_kind", "_row", *added).where("_kind = 0").select("_row.*", *[f"{p}_{s}" for p in groups for s in ("count", "sum")])

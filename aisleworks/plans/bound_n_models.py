@@ -12,6 +12,7 @@ from aisleworks.operators import evaluation, gold, ledger, quality, ranges
 from aisleworks.plans.bound_c_joins import LOOKBACK_SQL, snapshot_span
 from aisleworks.plans.bound_f_windows import KEYS, LEDGER_SQL, ORDER, brand_daily, store_ledger
 from aisleworks.plans.registry import query
+from aisleworks.session import written
 
 ROUNDS = 10
 
@@ -121,10 +122,12 @@ SELECT s.shipment_id, s.site, s.weekday, all_count, all_sum, site_count, site_su
 
 
 def dwell_rows(t):
+    """Stays with their features; the stays are written, as history, arrivals and features all read them."""
     s = t.shipments.select(
         "shipment_id", "arrived", "departed", gold.site_label().alias("site"), F.dayofweek("arrived").alias("weekday"),
         F.floor((F.unix_seconds("departed") - F.unix_seconds("arrived")) / 60).alias("dwell_minutes"),
     )
+    s = written(s, "stays")
     return features.dwell_features(s, s.where("departed > arrived"))
 
 

@@ -98,6 +98,27 @@ def test_prior_history_on_empty_sides(spark):
     assert {(r.all_count, r.g_sum) for r in ranges.prior_history(t, h.limit(0), **settings).collect()} == {(0, 0)}
 
 
+def test_dwell_history_orders_each_time_and_site_once(spark):
+    """Equal arrivals share one row of the ordered pass; open stays, null sites and null times count as before."""
+    from aisleworks.ml import features
+
+    day = lambda d: None if d is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    draw = random.Random(3)
+    stays = [(i, draw.choice([*range(12), None]), draw.choice([*range(4, 16), None]), draw.choice(["a", "b", None])) for i in range(400)]
+    rows = [(i, day(a), day(d), s, None if a is None else a % 7, None if None in (a, d) else (d - a) * 10) for i, a, d, s in stays]
+    df = spark.createDataFrame(rows, "shipment_id long, arrived timestamp, departed timestamp, site string, weekday int, dwell_minutes long")
+    found = features.dwell_features(df, df.where("departed > arrived"))
+    (folder,) = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "/dwell-history-" in f}
+    assert spark.read.parquet(folder).count() == len({r[1:2] + r[3:5] for r in rows})
+    done = [r for r in rows if None not in (r[1], r[2]) and r[2] > r[1]]
+    for r in (got := found.collect()):
+        past = [h for h in done if r.arrived is not None and h[2] < r.arrived]
+        for p, own in (("all", past), ("site", [h for h in past if h[3] == r.site]), ("weekday", [h for h in past if h[4] == r.weekday])):
+            total = sum(h[5] for h in own)
+            assert (r[f"{p}_count"], r[f"{p}_sum"], r[f"{p}_mean"]) == (len(own), total, total / len(own) if own else None)
+    assert sorted(r.shipment_id for r in got) == list(range(400))
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_open_span_as_all_pairs(spark, hot):
     """One visitor has all receipts in one hour; sessions end between, next to and on receipts."""
