@@ -16,6 +16,8 @@ from aisleworks.session import scratch_path
 #: Arrow slices handled at once inside a task, in bytes of text.
 SLICE_BYTES = 4 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: One task is enough for so many rows of ids and hashes, or rows with texts.
+TASK_ROWS, TASK_TEXTS = 1 << 16, 1 << 12
 
 
 def materialised(df: DataFrame, purpose: str) -> DataFrame:
@@ -25,6 +27,16 @@ def materialised(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` in at most one task for every ``each`` of its ``rows`` (their number, or about that).
+
+    Each task that writes leaves a file, and on local file systems a file costs three processes
+    started beside the executor. Small tables need none from every partition of a shuffle; large
+    ones keep their tasks.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables (from ``materialised``) that nothing reads any more.
 
@@ -179,32 +191,33 @@ def forest(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components: (node, component) for every node with an edge.
 
     ``component`` is the smallest node reachable. Alternates large-star and small-star steps;
     every round is a written table, so nothing is collected and a lost executor costs one round;
-    the table of the round before goes.
+    the table of the round before goes. No round has more edges than the one before it: those of
+    at most ``TASK_ROWS`` need no exchange and are one task. ``rows`` is about how many edges come.
     """
-    now = materialised(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    seen = None
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    now = materialised(now if rows is None else fewer_tasks(now, rows), "edges")
+    seen, left = None, now.count()
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = (lambda df: df.coalesce(1)) if left <= TASK_ROWS else (lambda df: df)
+        both = few(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        small = few(
             large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(smallest.withColumnRenamed("m", "v")).where("u <> v").distinct()
-        )
-        before, now = now, materialised(small, "edges")
+            .unionByName(smallest.withColumnRenamed("m", "v")).where("u <> v")
+        ).distinct()
+        before, now = now, materialised(fewer_tasks(small, left), "edges")
         discard(before)
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
+        seen, left = mark, mark[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import simhash
-from aisleworks.llm.common import SLICE_BYTES, bounded_groups, components, discard, encoded, map_arrow, materialised, slices, text_of
+from aisleworks.llm.common import SLICE_BYTES, TASK_TEXTS, bounded_groups, components, discard, encoded, fewer_tasks, map_arrow, materialised, slices, text_of
 from aisleworks.llm.paragraphs import BANDS, BLOCK, SIMILARITY, WORDS, bands, set_forest, shingles
 
 
@@ -86,10 +86,13 @@ def links(candidates: DataFrame, similarity: float = SIMILARITY, words: int = WO
     return map_arrow(groups.select("members"), run, "a long, b long")
 
 
-def print_buckets(classes: DataFrame) -> DataFrame:
-    """(member, bucket): members (member, fp) whose fingerprints links of at most two bits join share a bucket."""
-    prints = materialised(classes.groupBy("fp").agg(F.min("member").alias("rep")), "fingerprint-classes")
-    reached = components(simhash.links(prints, "rep"))
+def print_buckets(classes: DataFrame, rows: int) -> DataFrame:
+    """(member, bucket): members (member, fp) whose fingerprints links of at most two bits join share a bucket.
+
+    There are at most ``rows`` members.
+    """
+    prints = materialised(fewer_tasks(classes.groupBy("fp").agg(F.min("member").alias("rep")), rows), "fingerprint-classes")
+    reached = components(simhash.links(prints, "rep"), rows=rows)
     joined = prints.join(reached, prints["rep"] == reached["node"], "left").select("fp", F.coalesce("component", "rep").alias("_root"))
     return classes.join(joined, "fp").select("member", F.xxhash64(F.lit("simhash"), "_root").alias("bucket"))
 
@@ -102,21 +105,23 @@ def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SI
     """
     found = materialised(documents(docs, id_column, words).withColumn("_row", F.monotonically_increasing_id()), "documents")
     # One row stands for all documents with the same words; its number names the class.
-    classes = materialised(found.groupBy("h").agg(F.min("_row").alias("member"), F.min("_id").alias("first"), F.first("fp").alias("fp")), "document-classes").select("member", "first", "fp")
+    n = found.count()
+    classes = found.groupBy("h").agg(F.min("_row").alias("member"), F.min("_id").alias("first"), F.first("fp").alias("fp"))
+    classes = materialised(fewer_tasks(classes, n), "document-classes").select("member", "first", "fp")
     banded = found.select(F.col("_row").alias("member"), "bands").join(classes.select("member").hint("merge"), "member", "left_semi")
-    banded = banded.select("member", F.explode("bands").alias("bucket")).unionByName(print_buckets(classes.select("member", "fp")))
-    banded = materialised(banded, "document-bands")
+    banded = banded.select("member", F.explode("bands").alias("bucket")).unionByName(print_buckets(classes.select("member", "fp"), n))
+    banded = materialised(fewer_tasks(banded, n * (BANDS + 1)), "document-bands")
     several = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    met = materialised(banded.join(several.hint("merge"), "bucket"), "bucket-members")
+    met = materialised(fewer_tasks(banded.join(several.hint("merge"), "bucket"), n * (BANDS + 1)), "bucket-members")
     # Buckets with the same members are one.
     name = F.xxhash64("member")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("s"))
-    alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    alone = materialised(fewer_tasks(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), n * (BANDS + 1)), "buckets")
     met = met.join(alone, "bucket")
     bodies = found.select(F.col("_row").alias("member"), "body").join(met.select("member").distinct().hint("merge"), "member", "left_semi")
-    bodies = materialised(bodies, "bodies")
+    bodies = materialised(fewer_tasks(bodies, n, TASK_TEXTS), "bodies")
     discard(found, banded)
-    reached = components(links(met.join(bodies, "member"), similarity, words))
+    reached = components(links(met.join(bodies, "member"), similarity, words), rows=n)
     discard(bodies)
     rooted = classes.join(reached, classes["member"] == reached["node"], "left")
     return rooted.groupBy(F.coalesce("component", "member")).agg(F.min("first").alias(id_column)).select(id_column).distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import passages
-from aisleworks.llm.common import bounded_groups, components, discard, encoded, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
+from aisleworks.llm.common import TASK_TEXTS, bounded_groups, components, discard, encoded, fewer_tasks, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
 
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
@@ -179,45 +179,45 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
     other columns are ignored, whatever their names.
     """
     found = materialised(paragraphs(docs, id_column, min_words, words), "paragraphs")
+    total = found.count()
     place = F.struct("_id", "text_hash", "paragraph")
-    classes = materialised(
-        found.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("bands").alias("bands")),
-        "paragraph-classes",
-    )
+    classes = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first"), F.max(place).alias("last"), F.first("bands").alias("bands"))
+    classes = materialised(fewer_tasks(classes, total), "paragraph-classes")
     # Bands carry 64-bit names of classes; a collision of names only adds a candidate. The joins
     # are merged at every size: what they join with grows with the corpus.
     banded = classes.select(F.xxhash64("h").alias("member"), F.explode("bands").alias("bucket"))
     # One exchange: a row of a bucket has a neighbour before or after it in the bucket.
     beside = Window.partitionBy("bucket").orderBy("member")
     both = banded.withColumn("before", F.lag("member").over(beside)).withColumn("after", F.lead("member").over(beside))
-    met = materialised(both.where("before IS NOT NULL OR after IS NOT NULL").select("member", "bucket"), "bucket-members")
+    met = materialised(fewer_tasks(both.where("before IS NOT NULL OR after IS NOT NULL").select("member", "bucket"), total * BANDS), "bucket-members")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("member").alias("x"), F.sum(F.shiftright("member", 24)).alias("s"))
-    alone = materialised(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    alone = materialised(fewer_tasks(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), total * BANDS), "buckets")
     met = met.join(alone, "bucket")
     bodies = (
         found.select("h", "body", F.xxhash64("h").alias("member")).join(met.select("member").distinct().hint("merge"), "member", "left_semi")
         .groupBy("h", "member").agg(F.min("body").alias("body"))
     )
-    bodies = materialised(bodies, "bodies")
+    bodies = materialised(fewer_tasks(bodies, total, TASK_TEXTS), "bodies")
     # From here on the places will do: the texts and bands of all paragraphs go.
     places = materialised(found.select("_id", "text_hash", "paragraph", "n_words", "h"), "paragraph-places")
     discard(found)
     edges = links(met.join(bodies, "member").drop("member"), similarity, words)
-    reached = components(edges).withColumnRenamed("node", "h")
+    reached = components(edges, rows=total).withColumnRenamed("node", "h")
     discard(bodies)
-    rooted = materialised(classes.drop("bands").join(reached, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component"), "paragraph-roots")
+    rooted = classes.drop("bands").join(reached, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component")
+    rooted = materialised(fewer_tasks(rooted, total), "paragraph-roots")
     discard(classes)
     # Classes without links are clusters by themselves; only linked ones are added up by root.
     linked = rooted.join(reached.select("h"), "h", "left_semi")
     sums = linked.groupBy("root").agg(F.sum("_n").alias("size"), F.min("first").alias("keeper"), F.max("last").alias("end"), F.count(F.lit(1)).alias("_n"))
-    sums = materialised(sums, "paragraph-clusters")
+    sums = materialised(fewer_tasks(sums, total), "paragraph-clusters")
     of_linked = attached(linked.select("h", "root", F.col("_n").alias("copies")), sums, "root", max(1, linked.count()))
     clusters = of_linked.select("h", F.col("copies").alias("_n"), "size", "keeper", "end").unionByName(
         rooted.join(reached.select("h"), "h", "left_anti").select("h", "_n", F.col("_n").alias("size"), F.col("first").alias("keeper"), F.col("last").alias("end"))
     ).where("keeper <> end OR (keeper IS NULL) <> (end IS NULL)")
-    clusters = materialised(clusters, "clusters")
+    clusters = materialised(fewer_tasks(clusters, total), "clusters")
     discard(rooted)
-    every = attached(places, clusters, "h", max(1, places.count()))
+    every = attached(places, clusters, "h", max(1, total))
     return every.select(
         F.col("_id").alias(id_column), "text_hash", "paragraph", "n_words", F.col("keeper._id").alias("keeper_id"),
         F.col("keeper.paragraph").alias("keeper_paragraph"), F.col("size").alias("cluster_size"), F.struct("_id", "text_hash", "paragraph").eqNullSafe(F.col("keeper")).alias("kept"),
@@ -287,4 +287,4 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", **settings) -> D
                     columns["n_chars"] = pc.if_else(pa.array(mask), new, columns["n_chars"])
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return map_arrow(joined, run, docs.schema)
+    return map_arrow(fewer_tasks(joined, docs.count(), TASK_TEXTS), run, docs.schema)

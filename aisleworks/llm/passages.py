@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleworks.llm.common import _powers, discard, encoded, map_arrow, materialised, mix, range_hashes, slices, text_of, word_ranges
+from aisleworks.llm.common import _powers, discard, encoded, fewer_tasks, map_arrow, materialised, mix, range_hashes, slices, text_of, word_ranges
 
 WINDOW, TAIL, LEAST = 21, 8, 16
 
@@ -86,14 +86,15 @@ def passages(docs: DataFrame, id_column: str = "doc_id", least: int = LEAST) ->
 
     rows = docs.select(F.col(id_column).alias("_id"), text_of().alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     found = materialised(map_arrow(rows, run, schema), "units")
+    total = found.count()
     place = F.struct("_id", "text_hash")
     # Most units occur once: their hashes alone are counted, and only the units of the others go on.
     # Sort-merge at every size: both sides grow with the corpus; skewed units are split at run time.
     several = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    again = materialised(found.join(several.hint("merge"), "h", "left_semi"), "repeated-units")
+    again = materialised(fewer_tasks(found.join(several.hint("merge"), "h", "left_semi"), total), "repeated-units")
     discard(found)
     classes = again.groupBy("h", "c", "n").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("NOT keeper <=> last").drop("last")
-    met = again.join(materialised(classes, "unit-classes").hint("merge"), ["h", "c", "n"]).select(
+    met = again.join(materialised(fewer_tasks(classes, total), "unit-classes").hint("merge"), ["h", "c", "n"]).select(
         "_id", "text_hash", "start", (F.col("start") + F.col("n")).alias("end"), F.col("keeper._id").alias("keeper_id"), place.eqNullSafe(F.col("keeper")).alias("kept")
     )
     own = W.partitionBy("_id", "text_hash", "kept").orderBy("start", "end")

@@ -329,3 +329,48 @@ def test_pipeline_edges(spark):
         for name, stage in corpus_pipeline.STAGES:
             rows = corpus_pipeline.materialised(stage(spark, rows, SF), f"edge-{name}")
         rows.count()
+
+
+def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
+    """A table of a few rows leaves no file for every partition of the shuffles."""
+    from aisleworks.llm import common, near_copies
+
+    files = []
+    for module in (common, near_copies, paragraphs, passages):
+        def written(df, purpose, put=module.materialised):
+            table = put(df, purpose)
+            files.append((purpose, len(table.inputFiles())))
+            return table
+
+        monkeypatch.setattr(module, "materialised", written)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        kept = corpus_pipeline.one_of_each_group(spark, docs, SF)
+        corpus_pipeline.without_repeated_passages(spark, kept, SF)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"edges", "document-classes", "bodies", "unit-classes"} <= {purpose for purpose, _ in files}
+    assert {purpose: n for purpose, n in files if n > 8} == {}
+
+
+@pytest.mark.parametrize("few", [1 << 16, 40])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    """Rounds in one task and rounds with exchanges, and those that go over from one to the other."""
+    from aisleworks.llm import common
+
+    monkeypatch.setattr(common, "TASK_ROWS", few)
+    pairs = np.random.default_rng(11).integers(0, 300, (150, 2)).tolist() + [[400 + i, 401 + i] for i in range(60)]
+    root = {x: x for pair in pairs for x in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in pair and pair[0] != pair[1] for pair in pairs)}
+    for rows in (None, len(pairs), 1):
+        got = common.components(spark.createDataFrame([tuple(p) for p in pairs], "a long, b long").repartition(5), rows=rows).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
