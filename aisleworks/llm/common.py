@@ -37,6 +37,16 @@ def fewer_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+def by_merge(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` as a side of a join that is merged if it may have more than ``each`` rows.
+
+    The planner sizes a scratch table by its compressed files, and what is exploded or mapped by
+    the table before; below its limit for broadcasts such a table can still be more than the
+    driver holds. What has few ``rows`` (their number, or a bound) is left to the planner.
+    """
+    return df if rows <= each else df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables (from ``materialised``) that nothing reads any more.
 
@@ -157,7 +167,8 @@ def bounded_groups(members: DataFrame, keys: list[str], ident: str, block: int)
     members of one key meet in at least one row, and no row holds more than about two blocks,
     however large the group is. Singletons go before anything is collected. ``first`` and
     ``second`` name the blocks: two members of one block also meet in rows with ``first !=
-    second``, where they need not be looked at.
+    second``, where they need not be looked at. The sizes are merged with the members: members
+    come from an explode, which the planner does not count.
     """
     sizes = (
         members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -166,7 +177,7 @@ def bounded_groups(members: DataFrame, keys: list[str], ident: str, block: int)
     payload = [c for c in members.columns if c not in keys]
     own = F.pmod(F.xxhash64(F.lit(97), F.col(ident)), F.col("_g")).cast("int")
     dealt = (
-        members.join(sizes, keys)
+        members.join(sizes.hint("merge"), keys)
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
         .withColumn("first", F.least("_own", "_other")).withColumn("second", F.greatest("_own", "_other"))
@@ -206,10 +217,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         few = (lambda df: df.coalesce(1)) if left <= TASK_ROWS else (lambda df: df)
         both = few(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(by_merge(low, left), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = few(
-            large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(by_merge(smallest, left), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(smallest.withColumnRenamed("m", "v")).where("u <> v")
         ).distinct()
         before, now = now, materialised(fewer_tasks(small, left), "edges")

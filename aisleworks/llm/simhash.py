@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleworks.llm.common import bounded_groups, components, encoded, forest, map_arrow, materialised, slices, text_of
+from aisleworks.llm.common import bounded_groups, by_merge, components, encoded, forest, map_arrow, materialised, slices, text_of
 
 SEGMENTS = 16
 BLOCK = 512
@@ -125,10 +125,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", words: int = 3,
     """
     prints = materialised(fingerprints(docs, id_column, words, seed), "fingerprints")
     reps = materialised(prints.groupBy("fp").agg(F.min(id_column).cast("long").alias("rep")), "fingerprint-classes")
-    found = components(links(reps.where("rep IS NOT NULL"), "rep", distance))
-    classes = reps.join(found, reps["rep"] == found["node"], "left").select(
+    found, n = components(links(reps.where("rep IS NOT NULL"), "rep", distance)), reps.count()
+    classes = reps.join(by_merge(found, n), reps["rep"] == found["node"], "left").select(
         F.col("fp"), F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(classes, "fp").select(
+    return prints.join(by_merge(classes, n), "fp").select(
         id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -301,6 +301,12 @@ def test_simhash_as_brute_force(spark, documents, edges, monkeypatch, block):
     assert simhash.near_duplicates(edges).count() == len(EDGES) and simhash.near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark):
+    """The planner sizes the cells of all fingerprints like the fingerprints: too little by a factor of 33."""
+    prints = spark.range(4000).selectExpr("id AS rep", "xxhash64(id) AS fp")
+    assert "BroadcastHashJoin" not in simhash.links(prints, "rep")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_at_two_bits(spark):
     rng = np.random.default_rng(8)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
