@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from aisleworks.llm.common import materialised, text_of, unused
+from aisleworks.llm.common import TASK_TEXTS, by_merge, materialised, text_of, unused
 
 #: Words are runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,4 +125,4 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **settings) -> D
         F.col(id_column).eqNullSafe(F.col(identity)) & F.col("source").cast("string").eqNullSafe(F.col(source))
         & (F.xxhash64(text_of()) == F.col(key))
     )
-    return docs.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    return docs.join(by_merge(taken, docs.count(), TASK_TEXTS), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

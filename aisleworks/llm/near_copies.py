@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import simhash
-from aisleworks.llm.common import SLICE_BYTES, TASK_TEXTS, bounded_groups, components, discard, encoded, fewer_tasks, map_arrow, materialised, slices, text_of
+from aisleworks.llm.common import SLICE_BYTES, TASK_TEXTS, bounded_groups, by_merge, components, discard, encoded, fewer_tasks, map_arrow, materialised, slices, text_of
 from aisleworks.llm.paragraphs import BANDS, BLOCK, SIMILARITY, WORDS, bands, set_forest, shingles
 
 
@@ -93,8 +93,8 @@ def print_buckets(classes: DataFrame, rows: int) -> DataFrame:
     """
     prints = materialised(fewer_tasks(classes.groupBy("fp").agg(F.min("member").alias("rep")), rows), "fingerprint-classes")
     reached = components(simhash.links(prints, "rep"), rows=rows)
-    joined = prints.join(reached, prints["rep"] == reached["node"], "left").select("fp", F.coalesce("component", "rep").alias("_root"))
-    return classes.join(joined, "fp").select("member", F.xxhash64(F.lit("simhash"), "_root").alias("bucket"))
+    joined = prints.join(by_merge(reached, rows), prints["rep"] == reached["node"], "left").select("fp", F.coalesce("component", "rep").alias("_root"))
+    return classes.join(by_merge(joined, rows), "fp").select("member", F.xxhash64(F.lit("simhash"), "_root").alias("bucket"))
 
 
 def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -117,11 +117,11 @@ def first_ids(docs: DataFrame, id_column: str = "doc_id", similarity: float = SI
     name = F.xxhash64("member")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(name).alias("x"), F.sum(F.shiftright(name, 24)).alias("s"))
     alone = materialised(fewer_tasks(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), n * (BANDS + 1)), "buckets")
-    met = met.join(alone, "bucket")
+    met = met.join(by_merge(alone, alone.count()), "bucket")
     bodies = found.select(F.col("_row").alias("member"), "body").join(met.select("member").distinct().hint("merge"), "member", "left_semi")
     bodies = materialised(fewer_tasks(bodies, n, TASK_TEXTS), "bodies")
     discard(found, banded)
-    reached = components(links(met.join(bodies, "member"), similarity, words), rows=n)
+    reached = components(links(met.join(by_merge(bodies, n, TASK_TEXTS), "member"), similarity, words), rows=n)
     discard(bodies)
-    rooted = classes.join(reached, classes["member"] == reached["node"], "left")
+    rooted = classes.join(by_merge(reached, n), classes["member"] == reached["node"], "left")
     return rooted.groupBy(F.coalesce("component", "member")).agg(F.min("first").alias(id_column)).select(id_column).distinct()

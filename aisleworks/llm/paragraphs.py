@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aisleworks.llm import passages
-from aisleworks.llm.common import TASK_TEXTS, bounded_groups, components, discard, encoded, fewer_tasks, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
+from aisleworks.llm.common import TASK_TEXTS, bounded_groups, by_merge, components, discard, encoded, fewer_tasks, forest, map_arrow, materialised, mix, range_hashes, slices, text_of, unused, word_ranges
 
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
@@ -165,7 +165,7 @@ def attached(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataF
     """
     hot = classes.where(F.col("_n") * HOT > total)
     cold = classes.where(F.col("_n") * HOT <= total)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(by_merge(cold, total), key))
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -192,7 +192,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
     met = materialised(fewer_tasks(both.where("before IS NOT NULL OR after IS NOT NULL").select("member", "bucket"), total * BANDS), "bucket-members")
     alike = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("member").alias("x"), F.sum(F.shiftright("member", 24)).alias("s"))
     alone = materialised(fewer_tasks(alike.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), total * BANDS), "buckets")
-    met = met.join(alone, "bucket")
+    met = met.join(by_merge(alone, alone.count()), "bucket")
     bodies = (
         found.select("h", "body", F.xxhash64("h").alias("member")).join(met.select("member").distinct().hint("merge"), "member", "left_semi")
         .groupBy("h", "member").agg(F.min("body").alias("body"))
@@ -201,19 +201,19 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", min_words: int = MIN_WO
     # From here on the places will do: the texts and bands of all paragraphs go.
     places = materialised(found.select("_id", "text_hash", "paragraph", "n_words", "h"), "paragraph-places")
     discard(found)
-    edges = links(met.join(bodies, "member").drop("member"), similarity, words)
+    edges = links(met.join(by_merge(bodies, total, TASK_TEXTS), "member").drop("member"), similarity, words)
     reached = components(edges, rows=total).withColumnRenamed("node", "h")
     discard(bodies)
-    rooted = classes.drop("bands").join(reached, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component")
+    rooted = classes.drop("bands").join(by_merge(reached, total), "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component")
     rooted = materialised(fewer_tasks(rooted, total), "paragraph-roots")
     discard(classes)
     # Classes without links are clusters by themselves; only linked ones are added up by root.
-    linked = rooted.join(reached.select("h"), "h", "left_semi")
+    linked = rooted.join(by_merge(reached.select("h"), total), "h", "left_semi")
     sums = linked.groupBy("root").agg(F.sum("_n").alias("size"), F.min("first").alias("keeper"), F.max("last").alias("end"), F.count(F.lit(1)).alias("_n"))
     sums = materialised(fewer_tasks(sums, total), "paragraph-clusters")
     of_linked = attached(linked.select("h", "root", F.col("_n").alias("copies")), sums, "root", max(1, linked.count()))
     clusters = of_linked.select("h", F.col("copies").alias("_n"), "size", "keeper", "end").unionByName(
-        rooted.join(reached.select("h"), "h", "left_anti").select("h", "_n", F.col("_n").alias("size"), F.col("first").alias("keeper"), F.col("last").alias("end"))
+        rooted.join(by_merge(reached.select("h"), total), "h", "left_anti").select("h", "_n", F.col("_n").alias("size"), F.col("first").alias("keeper"), F.col("last").alias("end"))
     ).where("keeper <> end OR (keeper IS NULL) <> (end IS NULL)")
     clusters = materialised(fewer_tasks(clusters, total), "clusters")
     discard(rooted)

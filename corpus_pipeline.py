@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisleworks.llm import cotraining, mixing, near_copies, packing, paragraphs
-from aisleworks.llm.common import TASK_TEXTS, discard, fewer_tasks, materialised, unused
+from aisleworks.llm.common import TASK_TEXTS, by_merge, discard, fewer_tasks, materialised, unused
 from aisleworks.llm.queries import table, vocabulary
 
 
@@ -33,7 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     (name,) = unused(docs, "first")
     first = near_copies.first_ids(docs).withColumnRenamed("doc_id", name)
-    return fewer_tasks(docs.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), docs.count(), TASK_TEXTS)
+    rows = docs.count()
+    return fewer_tasks(docs.join(by_merge(first, rows), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi"), rows, TASK_TEXTS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,6 +358,29 @@ def test_small_tables_are_written_by_few_tasks(spark, monkeypatch):
     assert {purpose: n for purpose, n in files if n > 8} == {}
 
 
+def test_large_tables_of_near_copies_are_not_broadcast(spark, monkeypatch):
+    """With every table taken for a large one, no join of the stage goes through the driver; the rows stay the same."""
+    from aisleworks.llm import common, near_copies, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in near_copies.first_ids(docs).collect())
+    plans = []
+
+    def written(df, purpose, put=common.materialised):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return put(df, purpose)
+
+    for module in (common, near_copies, simhash):
+        monkeypatch.setattr(module, "by_merge", lambda df, rows, each=0: df.hint("merge"))
+        if module is not simhash:
+            monkeypatch.setattr(module, "materialised", written)
+    got = near_copies.first_ids(docs)
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 5
+    assert [purpose for purpose, plan in plans if "Broadcast" in plan] == []
+
+
 @pytest.mark.parametrize("few", [1 << 16, 40])
 def test_components_of_few_and_many_edges(spark, monkeypatch, few):
     """Rounds in one task and rounds with exchanges, and those that go over from one to the other."""
