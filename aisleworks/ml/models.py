@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisleworks.operators.pricing import cases
+from aisleworks.session import keep_checkpoints
 
 SEED = 42
 
@@ -121,7 +122,11 @@ def recursive_forecast(model, state: DataFrame, keys: Sequence[str], horizon: in
 
 
 def dwell_predictions(train: DataFrame, calibration: DataFrame, score: DataFrame, numeric: Sequence[str], category: str, label: str, *, iterations: int, coverage: float = 0.8) -> DataFrame:
-    """Dwell with an interval of the wanted coverage from absolute calibration residuals."""
+    """Dwell with an interval of the wanted coverage from absolute calibration residuals.
+
+    Each round of boosting stands on the errors of the one before; every tenth is checkpointed.
+    """
+    keep_checkpoints(train.sparkSession)
     model = Pipeline(stages=[
         StringIndexer(inputCol=category, outputCol="_category", handleInvalid="keep"), assemble([*numeric, "_category"]),
         GBTRegressor(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, maxBins=64, seed=SEED),

@@ -1,6 +1,7 @@
 """Models on the fixture tables: SQL-checked features, then the fits.
 
-The fits use fewer boosting rounds than the library defaults allow, as the fixtures are small.
+``dwell_prediction`` boosts for as many rounds as the surveyed job. The other fits use fewer rounds
+than the library defaults allow, as the fixtures are small.
 """
 
 from datetime import timedelta
@@ -15,6 +16,7 @@ from aisleworks.plans.registry import query
 from aisleworks.session import written
 
 ROUNDS = 10
+DWELL_ROUNDS = 120
 
 # --- churn ---
 
@@ -145,7 +147,7 @@ def dwell_prediction(t):
     a, b = evaluation.split_cutoffs(closed, "arrived_on", train=0.7, calibration=0.2)
     split = evaluation.assign_chronological_split(closed, "arrived_on", train_until=a, calibration_until=b, embargo_days=1)
     out = models.dwell_predictions(
-        split.where("split = 'train'"), split.where("split = 'calibration'"), rows.where("departed <= arrived"), numeric, "site", "dwell_minutes", iterations=ROUNDS
+        split.where("split = 'train'"), split.where("split = 'calibration'"), rows.where("departed <= arrived"), numeric, "site", "dwell_minutes", iterations=DWELL_ROUNDS
     )
     return out.select("shipment_id", "site", "predicted_dwell", "lower_bound", "upper_bound")
 

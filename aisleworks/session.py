@@ -67,11 +67,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/aisleworks/{purpose}-{uuid.uuid4().hex}"
 
 
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder, those of long fits among them."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def checkpointed(df):
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    keep_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -208,6 +208,29 @@ def test_segment_labels_by_thirds(spark):
     assert got.count() == len(rows)
 
 
+def test_dwell_prediction_boosts_for_all_rounds(spark, monkeypatch):
+    """The surveyed job fits 120 trees; every open stay gets a prediction within its bounds."""
+    import __spark_entry__ as entry
+    from aisleworks.ml import models
+    from aisleworks.sources.fixtures import Tables
+
+    trees = []
+
+    class Recorded(models.Pipeline):
+        def fit(self, dataset):
+            fitted = super().fit(dataset)
+            trees.append(fitted.stages[-1].getNumTrees)
+            return fitted
+
+    monkeypatch.setattr(models, "Pipeline", Recorded)
+    folder = "/root/testdata/sf0.001"
+    got = entry.queries()["dwell_prediction"](spark, folder).collect()
+    assert trees == [120] and spark.sparkContext.getCheckpointDir()
+    still_open = Tables(spark, folder).shipments.where("departed <= arrived").collect()
+    assert sorted(r.shipment_id for r in got) == sorted(r.shipment_id for r in still_open)
+    assert all(0 <= r.lower_bound <= r.predicted_dwell <= r.upper_bound for r in got)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
